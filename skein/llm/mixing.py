@@ -10,8 +10,8 @@ a shard documents are shuffled by a seeded hash.
 Only sums by block and by source are ever gathered by a key: a source that holds a third of all rows has as many
 blocks as any other of its size, and no window runs over documents but in the one block that is cut.
 
-Edge cases: a null text has size 0; the null source is a source, ordered last; rows of equal doc_id share their
-place in the order and are taken or left together with others of their block only by the text's hash; a source of size
+Edge cases: a null text has size 0; the null source is a source, ordered last; rows of equal doc_id
+stand in the same block, ordered by their texts' hashes; a source of size
 0 has target 0 and gives nothing; an empty table gives an empty mix. Columns of other names are ignored.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,47 +93,66 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaves.select("source", "shard", (to_here - F.col("quota")).alias("first"), to_here.alias("last")).where("last > first")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = 512, shards: int = 8, seed: int = 20240) -> DataFrame:
-    """The mix: every column of docs with size, source_size, target, pass, shard and place (the order in a shard).
+def marked(docs: DataFrame, blocks: int = 512, seed: int = 20240) -> DataFrame:
+    """docs with _own (its place in its source's order), _block and _tie (a hash of the text)."""
+    own = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    return docs.withColumn("_own", own).withColumn("_block", F.pmod("_own", F.lit(blocks)).cast("int")).withColumn("_tie", F.xxhash64("text"))
 
-    A document stands as often as it is taken. `shards` is a power of two.
+
+def measured(docs: DataFrame, blocks: int = 512, seed: int = 20240) -> DataFrame:
+    """doc_id, source, _size and marks of every document, without its text: words are counted once."""
+    return saved(marked(docs, blocks, seed).select("doc_id", "source", n_words("text").alias("_size"), "_own", "_block", "_tie"), "mix-sizes")
+
+
+def block_draws(d: DataFrame, weights: tuple[float, ...], share: float, most: float, shards: int, seed: int) -> DataFrame:
+    """A row for each block (s, b): words, source_size, target and draws (pass, need, shard); d is from measured().
+
+    A draw with need below the words of its block takes a part of it.
     """
-    own = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    d = docs.withColumn("_size", n_words("text")).withColumn("_own", own).withColumn("_block", F.pmod("_own", F.lit(blocks)).cast("int"))
-    measured = d.select(F.col("source").alias("source"), "_block", "_size")
-    by_block = measured.groupBy("source", "_block").agg(F.sum("_size").alias("words"))
-    aims = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
-    aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    aims = aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    by_block = d.groupBy("source", "_block").agg(F.sum("_size").alias("words"))
+    goals = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
+    goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    goals = goals.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # The order of a source's blocks, and how much of each the last, partial pass takes.
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "_block"), "_block")
-    b = by_block.select(F.col("source").alias("s"), "_block", "words").join(aims, F.col("s").eqNullSafe(F.col("source")))
+    b = by_block.select(F.col("source").alias("s"), "_block", "words").join(goals, F.col("s").eqNullSafe(F.col("source")))
     b = b.withColumn("rank", F.row_number().over(order)).withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("s")))
     b = b.withColumn("need", F.col("rest") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     passes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("whole"), F.col("words").cast("double")).otherwise(F.col("need")).alias("need"), (p * F.col("n_blocks") + F.col("rank") - 1).alias("draw")))
-    draws = b.where("source_size > 0").select("s", "_block", "words", "source_size", "target", F.explode(passes).alias("x")).select("s", "_block", "words", "source_size", "target", "x.*").where("need > 0")
+    b = saved(b.select("s", F.col("_block").alias("b"), "words", "source_size", "target", F.filter(passes, lambda x: (F.col("source_size") > 0) & (x["need"] > 0)).alias("x")), "mix-blocks")
+    draws = b.select("s", "b", F.explode("x").alias("x")).select("s", "b", "x.*")
     quotas = draws.groupBy(F.col("s").alias("source")).agg((F.max("draw") + 1).cast("bigint").alias("quota"))
-    parts = split_tree(quotas, shards, seed + 2).withColumnRenamed("source", "ps")
-    drawn = draws.join(parts, F.col("s").eqNullSafe(F.col("ps")) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("last")))
-    drawn = drawn.select("s", F.col("_block").alias("b"), "words", F.col("source_size").alias("source_size"), "target", "pass", "need", "shard")
-    taken = d.join(drawn, F.col("source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
-    whole, cut = taken.where("need >= words"), taken.where("need < words")
-    at = Window.partitionBy("s", "b", "pass").orderBy("_own", F.xxhash64("text"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_so_far", F.coalesce(F.sum("_size").over(at), F.lit(0))).where(F.col("_so_far") + F.col("_size") / 2 <= F.col("need")).drop("_so_far")
-    place = F.xxhash64(F.lit(seed + 3), "pass", F.col("doc_id").cast("string"), "text")
-    return whole.unionByName(cut).select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "pass", "shard", place.alias("place"))
+    parts = split_tree(quotas, shards, seed + 2).groupBy(F.col("source").alias("ps")).agg(F.collect_list(F.struct("shard", "first", "last")).alias("parts"))
+    out = b.join(parts, F.col("s").eqNullSafe(F.col("ps")), "left")
+    shard = lambda x: F.filter("parts", lambda p: (x["draw"] >= p["first"]) & (x["draw"] < p["last"]))[0]["shard"]
+    return out.select("s", "b", "words", "source_size", "target", F.transform("x", lambda x: F.struct(x["pass"].alias("pass"), x["need"].alias("need"), shard(x).alias("shard"))).alias("draws"))
+
 
+def taken(d: DataFrame, draws: DataFrame, *more: str) -> DataFrame:
+    """Every row of d (source, _size, _own, _block, _tie, and the columns `more`) with size, source_size, target and its copies (pass, shard)."""
+    j = d.join(draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
+    cut = F.exists("draws", lambda x: x["need"] < F.col("words"))
+    at = Window.partitionBy("s", "b").orderBy("_own", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    part = j.where(cut).withColumn("_so_far", F.coalesce(F.sum("_size").over(at), F.lit(0)))
+    both = j.where(~cut).withColumn("_so_far", F.lit(0).cast("bigint")).unionByName(part)
+    copies = F.filter("draws", lambda x: (x["need"] >= F.col("words")) | (F.col("_so_far") + F.col("_size") / 2 <= x["need"]))
+    return both.select(*more, F.col("_size").alias("size"), "source_size", "target", F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"))).alias("copies"))
 
-def aims(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size and target."""
-    sizes = docs.select("source", n_words("text").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    return targets(sizes, list(weights), share, most)
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = 512, shards: int = 8, seed: int = 20240) -> DataFrame:
+    """The mix: every column of docs with mix_size, mix_pass, mix_shard and mix_place (the order in a shard).
+
+    A document stands as often as it is taken. `shards` is a power of two.
+    """
+    draws = block_draws(measured(docs, blocks, seed), weights, share, most, shards, seed)
+    kept = F.struct(*docs.columns).alias("_row")
+    d = marked(docs, blocks, seed).select(kept, "source", n_words("text").alias("_size"), "_own", "_block", "_tie")
+    out = taken(d, draws, "_row", "_own", "_tie").select("_row", "size", "_own", "_tie", F.explode("copies").alias("c"))
+    place = F.xxhash64(F.lit(seed + 3), "c.pass", "_own", "_tie")
+    return out.select("_row.*", F.col("size").alias("mix_size"), F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), place.alias("mix_place"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    times = mix(docs).groupBy("doc_id").agg(F.sum("size").alias("taken")).withColumnRenamed("doc_id", "taken_id")
-    goals = aims(docs).withColumnRenamed("source", "goal_source")
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
-    out = sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).join(times, F.col("doc_id") == F.col("taken_id"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    d = measured(table(spark, sf_dir, "documents"))
+    out = taken(d, block_draws(d, (3.0, 1.0, 2.0), 1.5, 2.0, 8, 20240), "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards"))

@@ -86,7 +86,7 @@ class PieceIds:
     as in its text. Models with a normalizer, or a split other than the pattern, are refused.
     """
 
-    def __init__(self, data: bytes, pattern: str, held: int = 500_000):
+    def __init__(self, data: bytes, pattern: str, held: int = 400_000):
         import json
 
         import regex
