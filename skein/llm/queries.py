@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
 from .langid import op9_language_id
+from .minhash import op8_minhash
 from .mixing import op7_mixing
 from .planes import op3_id_planes
 from .repetition import op5_quality_rules
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_id_planes": op3_id_planes,
         "op5_quality_rules": op5_quality_rules,
         "op7_mixing": op7_mixing,
+        "op8_minhash": op8_minhash,
         "op9_language_id": op9_language_id,
     }
 
