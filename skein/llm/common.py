@@ -35,12 +35,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a DataFrame made by saved()."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_saved(*frames: DataFrame) -> None:
+    """Delete the files of DataFrames made by saved(), once nothing is to be read from them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

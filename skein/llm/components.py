@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop_saved, saved
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if sign["n"] == 0 or sign == before:
             break
         before = sign
-        e = saved(_small(_large(e)), "edges")
+        last, e = e, saved(_small(_large(e)), "edges")
+        drop_saved(last)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -8,11 +8,12 @@ words is one shingle, one without words none. The `keep` least values are its sk
    Two sets of similarity s share about s * post of them, so if a sharing of less than `share` of them is ruled out
    (for s = 0.85, post = 32 and share = 0.44 its chance is under 1e-6), leaving out so many of the longest lists, less
    one, loses no pair. Values in many documents (a common passage) are thus hardly ever posted.
-3. In each list all classes meet the least one. The union sketch of a pair (the least values of both) estimates its
+3. In each list all classes meet the one whose values are the most common: of a group of copies, the form they come from. The union sketch of a pair (the least values of both) estimates its
    similarity; estimates more than six standard deviations too low are dropped, the others are decided on full sets.
-4. The links give components. Within a list, classes that are in different components still have to meet: these pairs
-   go through the same estimate and decision. Pairs within a component change nothing, so a large group of copies
-   costs its size, not its square.
+4. The links give components. Within a list, classes that are in different components still have to meet. For those
+   classes the shingles that no other of them has are counted: with u such of n shingles in one and v in the other,
+   the similarity is at most (n - u) / (n + v), and a pair for which that is too low is not made. What is left is
+   decided on full sets. Pairs within a component change nothing, so a large group of copies costs its size.
 
 Full sets are made again from the text, for the documents in undecided pairs only.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table
+from .common import drop_saved, saved, slices, table
 from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -102,8 +103,8 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return _per_text(docs, "doc_id bigint, shingles array<bigint>", row)
 
 
-def decide(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, keep: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> DataFrame:
+    """The pairs (a, b) whose union sketch does not rule them out."""
     of = lambda x: signed.select(F.col("doc_id").alias(f"{x}_id"), F.col("sketch").alias(f"{x}_sketch"))
     with_a = pairs.select("a", "b").join(of("a"), F.col("a") == F.col("a_id")).drop("a_id")
     both = with_a.join(of("b"), F.col("b") == F.col("b_id")).drop("b_id")
@@ -111,15 +112,33 @@ def decide(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, k
     shared = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
     s = percent / 100
     least = s - 6 * (s * (1 - s) / keep) ** 0.5
-    likely = saved(both.where(shared >= F.lit(least) * F.size(union)).select("a", "b"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = saved(full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+    return both.where(shared >= F.lit(least) * F.size(union)).select("a", "b")
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and shingles of the documents in ids (doc_id), written to the shared folder."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return saved(full_sets(d.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+
+
+def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     of = lambda x: sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set"))
-    full = likely.join(of("a"), F.col("a") == F.col("a_id")).drop("a_id").join(of("b"), F.col("b") == F.col("b_id"))
+    full = pairs.join(of("a"), F.col("a") == F.col("a_id")).drop("a_id").join(of("b"), F.col("b") == F.col("b_id"))
     inter = F.size(F.array_intersect("a_set", "b_set"))
     return full.where(100 * inter >= percent * (F.size("a_set") + F.size("b_set") - inter)).select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """own_id, own: how many shingles each document shares with no other of the table."""
+    lone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("own_id")).where("n = 1")
+    return lone.groupBy("own_id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: int = 64, post: int = 32, share: float = 0.44) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = saved(sketches(docs, width, keep), "sketches")
@@ -128,17 +147,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     posted = saved(_posted(reps, post, share), "posted")
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    least = posted.groupBy("value").agg(F.min(F.struct("doc_id", "n")).alias("p")).select(F.col("value").alias("pv"), F.col("p.doc_id").alias("a"), F.col("p.n").alias("an"))
-    first = posted.join(least, (F.col("value") == F.col("pv")) & (F.col("doc_id") > F.col("a")) & near("n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
-    links = saved(decide(first, signed, docs, percent, keep, width), "links")
+    middle = posted.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n")).alias("p")).select(F.col("value").alias("pv"), (-F.col("p.id")).alias("a"), F.col("p.n").alias("an"))
+    first = posted.join(middle, (F.col("value") == F.col("pv")) & (F.col("doc_id") != F.col("a")) & near("n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
+    likely = saved(estimated(first, signed, percent, keep), "likely")
+    sets = sets_of(ends(likely), docs, width)
+    links = saved(decide(likely, sets, percent), "links")
+    drop_saved(sets, likely)
     group = components(links)
     # Classes of a list that are in different components still have to meet.
-    x = posted.join(group, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc_id").alias("p")).where("c0 <> c1").select(F.col("value").alias("mv"), "p")
-    x = saved(x.join(apart, F.col("value") == F.col("mv")).where("doc_id <> p").select("value", "doc_id", "n", "c"), "apart")
-    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    rest = x.join(y, (F.col("value") == F.col("v2")) & (F.col("doc_id") < F.col("b")) & (F.col("c") != F.col("bc")) & near("n", "bn")).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = saved(decide(saved(rest, "rest"), signed, docs, percent, keep, width), "links")
+    rank = F.struct("weight", -F.col("doc_id"))
+    x = posted.join(group, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", "weight", F.coalesce("component", "doc_id").alias("c"))
+    apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(rank).alias("p")).where("c0 <> c1").select(F.col("value").alias("mv"), "p")
+    x = saved(x.join(apart, (F.col("value") == F.col("mv")) & (rank != F.col("p"))).select("value", "doc_id", "n", "c"), "apart")
+    sets = sets_of(x.select("doc_id"), docs, width)
+    own = own_shingles(sets)
+    x = x.join(own, F.col("doc_id") == F.col("own_id"), "left").select("value", "doc_id", "n", "c", F.coalesce("own", F.lit(0)).alias("own"))
+    x = saved(x.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "apart")
+    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("own").alias("bown"))
+    able = ((F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("bown")) * percent) & ((F.col("bn") - F.col("bown")) * 100 >= (F.col("bn") + F.col("own")) * percent)
+    rest = x.join(y, (F.col("value") == F.col("v2")) & (F.col("doc_id") < F.col("b")) & (F.col("c") != F.col("bc")) & near("n", "bn") & able).select(F.col("doc_id").alias("a"), "b").distinct()
+    more = saved(decide(rest, sets, percent), "links")
+    drop_saved(sets, x, posted)
     if not more.isEmpty():
         group = components(links.unionByName(more))
     named_group = classes.join(group, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -148,14 +177,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
 
 
 def _posted(reps: DataFrame, post: int, share: float) -> DataFrame:
-    """value, doc_id, n: the retained values that each class posts, from lists of two or more."""
+    """value, doc_id, n, weight: the retained values that each class posts, from lists of two or more.
+
+    weight sums the lengths of the lists of a class's values: in a group of copies it is largest for the common form.
+    """
     held = F.least(F.size("sketch"), F.lit(post))
     values = reps.select("doc_id", F.col("n_shingles").alias("n"), held.alias("held"), F.explode(F.slice("sketch", 1, post)).alias("value"))
     length = values.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").withColumnRenamed("value", "lv")
     found = values.join(length, F.col("value") == F.col("lv")).groupBy("doc_id", "n", "held").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("found"))
     alone = F.col("held") - F.size("found")  # lists of one come first in the order and need no posting
     most = F.col("held") - F.ceil(F.col("held") * share) + 1 - alone
-    return found.where(most > 0).select("doc_id", "n", F.explode(F.slice("found", F.lit(1), most.cast("int"))).alias("f")).select("f.value", "doc_id", "n")
+    weight = F.aggregate("found", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
+    return found.where(most > 0).select("doc_id", "n", weight.alias("weight"), F.explode(F.slice("found", F.lit(1), most.cast("int"))).alias("f")).select("f.value", "doc_id", "n", "weight")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
