@@ -10,10 +10,10 @@ words is one shingle, one without words none. The `keep` least values are its sk
    one, loses no pair. Values in many documents (a common passage) are thus hardly ever posted.
 3. In each list all classes meet the one whose values are the most common: of a group of copies, the form they come from. The union sketch of a pair (the least values of both) estimates its
    similarity; estimates more than six standard deviations too low are dropped, the others are decided on full sets.
-4. The links give components. Within a list, classes that are in different components still have to meet. For those
-   classes the shingles that no other of them has are counted: with u such of n shingles in one and v in the other,
-   the similarity is at most (n - u) / (n + v), and a pair for which that is too low is not made. What is left is
-   decided on full sets. Pairs within a component change nothing, so a large group of copies costs its size.
+4. The links give components. Within a list, classes that are in different components still have to meet. Their full
+   sets are joined exactly by their rarest shingles: only pairs in different components that share one early enough,
+   by its places in both sets, are made and decided. Pairs within a component change nothing, so a large group of
+   copies costs its size.
 
 Full sets are made again from the text, for the documents in undecided pairs only.
 
@@ -118,7 +118,7 @@ def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> D
 def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """doc_id and shingles of the documents in ids (doc_id), written to the shared folder."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return saved(full_sets(d.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+    return saved(full_sets(d.join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
 
 
 def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,10 +133,22 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """own_id, own: how many shingles each document shares with no other of the table."""
-    lone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("own_id")).where("n = 1")
-    return lone.groupBy("own_id").agg(F.count("*").alias("own"))
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """value, doc_id, n, at, short: the places of each set's rarest shingles that it must share with a similar set.
+
+    Shingles are ordered by how many sets of the table hold them, then by value. Two sets with 100 * intersection >=
+    percent * union share one of the first n - ceil(percent * n / 100) + 1 of each, and of the smaller one of the
+    first n - ceil(2 * percent * n / (100 + percent)) + 1 (short). Shingles of one set keep their place unposted.
+    """
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    held = each.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").withColumnRenamed("value", "hv")
+    found = each.join(held, F.col("value") == F.col("hv")).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("found"))
+    lone = F.col("n") - F.size("found")
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - lone).cast("int")
+    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    listed = found.where(most > 0).select("doc_id", "n", short.alias("most"), lone.alias("lone"), F.posexplode(F.slice("found", F.lit(1), most)).alias("k", "f"))
+    at = F.col("lone") + F.col("k") + 1
+    return listed.select("f.value", "doc_id", "n", at.alias("at"), (at <= F.col("most")).alias("short"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: int = 64, post: int = 32, share: float = 0.44) -> DataFrame:
@@ -155,17 +167,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     drop_saved(sets, likely)
     group = components(links)
     # Classes of a list that are in different components still have to meet.
-    rank = F.struct("weight", -F.col("doc_id"))
-    x = posted.join(group, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", "weight", F.coalesce("component", "doc_id").alias("c"))
-    apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(rank).alias("p")).where("c0 <> c1").select(F.col("value").alias("mv"), "p")
-    x = saved(x.join(apart, (F.col("value") == F.col("mv")) & (rank != F.col("p"))).select("value", "doc_id", "n", "c"), "apart")
+    x = posted.join(group, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(F.col("value").alias("mv"))
+    x = saved(x.join(apart, F.col("value") == F.col("mv"), "left_semi").select("doc_id", "c").distinct(), "apart")
     sets = sets_of(x.select("doc_id"), docs, width)
-    own = own_shingles(sets)
-    x = x.join(own, F.col("doc_id") == F.col("own_id"), "left").select("value", "doc_id", "n", "c", F.coalesce("own", F.lit(0)).alias("own"))
-    x = saved(x.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "apart")
-    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("own").alias("bown"))
-    able = ((F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("bown")) * percent) & ((F.col("bn") - F.col("bown")) * 100 >= (F.col("bn") + F.col("own")) * percent)
-    rest = x.join(y, (F.col("value") == F.col("v2")) & (F.col("doc_id") < F.col("b")) & (F.col("c") != F.col("bc")) & near("n", "bn") & able).select(F.col("doc_id").alias("a"), "b").distinct()
+    x = saved(prefixes(sets, percent).join(x.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).drop("id"), "prefixes")
+    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("at").alias("bat"))
+    smaller = (F.col("n") < F.col("bn")) | ((F.col("n") == F.col("bn")) & (F.col("doc_id") < F.col("b")))
+    able = (1 + F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat"))) * (100 + percent) >= (F.col("n") + F.col("bn")) * percent
+    rest = x.where("short").join(y, (F.col("value") == F.col("v2")) & smaller & (F.col("c") != F.col("bc")) & near("n", "bn") & able).select(F.col("doc_id").alias("a"), "b").distinct()
     more = saved(decide(rest, sets, percent), "links")
     drop_saved(sets, x, posted)
     if not more.isEmpty():
