@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
 from .langid import op9_language_id
+from .lines import op6_line_dedup
 from .minhash import op8_minhash
 from .mixing import op7_mixing
 from .planes import op3_id_planes
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_id_planes": op3_id_planes,
         "op5_quality_rules": op5_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
         "op8_minhash": op8_minhash,
         "op9_language_id": op9_language_id,
