@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import repetition
+from skein.llm import bpe, lines, minhash, mixing, repetition
 from skein.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,7 +23,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that repeat earlier ones; documents of which no line is left go."""
+    d = lines.dedup(docs)
+    empty = (F.col("n_copies") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return d.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: the least doc_id."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of the ids and of the bytes they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mixing", mix),
+    ("byte_bpe", encode),
+]
 
 #: Suffix arrays, sketches and byte-pair merges have no SQL form.
 ORACLE_SQL: str | None = None

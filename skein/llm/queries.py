@@ -6,24 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op4_nearest
 from .bpe import op1_byte_bpe
 from .langid import op9_language_id
 from .lines import op6_line_dedup
 from .minhash import op8_minhash
 from .mixing import op7_mixing
+from .mlm import op2_masked_lm
 from .planes import op3_id_planes
 from .repetition import op5_quality_rules
+from .sufdedup import op10_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_masked_lm": op2_masked_lm,
         "op3_id_planes": op3_id_planes,
+        "op4_nearest": op4_nearest,
         "op5_quality_rules": op5_quality_rules,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
         "op8_minhash": op8_minhash,
         "op9_language_id": op9_language_id,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
