@@ -8,7 +8,7 @@ an earlier one is at most `edits`; earlier means by (doc_id, place in the text)
 2. Every form of length l is split into edits + 1 even segments; of two forms within the distance the longer has one
    of the shorter's segments, at few possible places (multi-match-aware selection). Hashes of (length, segment number,
    segment) are joined with those of the substrings at these places, for the lengths that are possible.
-3. An edit changes the counts of eight common letters by two at most in sum; the join keeps only pairs that agree so
+3. An edit changes the counts of seven common letters by two at most in sum; the join keeps only pairs that agree so
    far. The letters' counts are in one long, compared within the join's own code.
 4. What is left is verified by a banded bit-parallel edit distance: after the common ends are cut, a word holds the
    2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved, table
+from .common import saved, table
 
-LETTERS = "etanisrh"
+LETTERS = "etanisr"
 
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -34,12 +34,17 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return [(base * i + F.greatest(F.lit(0), over - (n - i)) + 1, base + F.when(F.lit(i) >= n - over, 1).otherwise(0)) for i in range(n)]
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(F.xxhash64(length, F.lit(i), line.substr(at, size)) for i, (at, size) in enumerate(segments(length, edits))))
+def _part(wide: Column, at: Column, size: Column) -> Column:
+    """Characters at .. at + size - 1 of a string in UTF-32, found without walking through it."""
+    return F.substring(wide, (at - 1) * 4 + 1, size * 4)
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings at which a form may hold a segment of a form that is up to `edits` shorter."""
+def segment_keys(wide: Column, length: Column, edits: int) -> Column:
+    return F.array(*(F.xxhash64(length, F.lit(i), _part(wide, at, size)) for i, (at, size) in enumerate(segments(length, edits))))
+
+
+def probe_keys(wide: Column, length: Column, edits: int) -> Column:
+    """Keys of the substrings at which a form may hold a segment of a form that is up to `edits` shorter; nulls between."""
     keys = []
     for less in range(edits + 1):
         own = length - less
@@ -47,13 +52,13 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 start = at + shift
                 ok = (own > edits) & (start >= 1) & (start + size - 1 <= length)
-                keys.append(F.when(ok, F.xxhash64(own, F.lit(i), line.substr(start, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+                keys.append(F.when(ok, F.xxhash64(own, F.lit(i), _part(wide, start, size))))
+    return F.array(*keys)
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the eight letters, 255 at most, in the bytes of a long."""
-    out = F.lit(0).cast("bigint")
+    """Counts of the seven letters, 255 at most, in the lower bytes of a long; the length modulo 256 in the highest."""
+    out = F.shiftleft((length % 256).cast("bigint"), 56)
     for k, c in enumerate(LETTERS):
         n = F.least(length - F.char_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
         out = out.bitwiseOR(F.shiftleft(n, 8 * k))
@@ -63,7 +68,7 @@ def letter_counts(line: Column, length: Column) -> Column:
 def counts_apart(a: Column, b: Column) -> Column:
     byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
     out = F.abs(byte(a, 0) - byte(b, 0))
-    for k in range(1, 8):
+    for k in range(1, len(LETTERS)):
         out = out + F.abs(byte(a, k) - byte(b, k))
     return out
 
@@ -132,40 +137,36 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 
 def forms_of(lines: DataFrame) -> DataFrame:
     """line, place: every distinct line and where it is first."""
-    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("place"))
+    # The condition keeps the place in every use, so that one exchange serves them all.
+    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("place")).where(F.col("place").isNotNull())
 
 
 def edit_join(forms: DataFrame, edits: int) -> DataFrame:
-    """a, b: the distinct lines (column line) that are within `edits` edits of each other, each pair once."""
-    length = F.char_length("line")
-    own = forms.select("line", length.alias("l"), F.xxhash64("line").alias("id"), letter_counts(F.col("line"), length).alias("c"))
-    index = own.where(F.col("l") > edits).select("id", "l", "c", F.explode(segment_keys(F.col("line"), F.col("l"), edits)).alias("key"))
-    probe = own.select(F.col("id").alias("id2"), F.col("l").alias("l2"), F.col("c").alias("c2"), F.explode(probe_keys(F.col("line"), F.col("l"), edits)).alias("key2"))
-    able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & ((F.col("l") < F.col("l2")) | ((F.col("l") == F.col("l2")) & (F.col("id") < F.col("id2"))))
-    pairs = saved(index.join(probe, (F.col("key") == F.col("key2")) & able).select("id", "id2").distinct(), "line-pairs")
-    text = forms.select(F.xxhash64("line").alias("h"), "line")
-    ids = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
-    text = saved(text.join(ids.hint("merge"), F.col("h") == F.col("id"), "left_semi"), "line-texts")
-    full = pairs.join(text.select(F.col("h").alias("h1"), F.col("line").alias("a")), F.col("id") == F.col("h1"))
-    full = full.join(text.select(F.col("h").alias("h2"), F.col("line").alias("b")), F.col("id2") == F.col("h2"))
-    found = saved(within(full.select("a", "b").where("a <> b"), "a", "b", edits), "line-links")
-    drop_saved(pairs, text)
-    return found
-
-
-def later_forms(forms: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b, a_place, b_place: the distinct lines (line, place) that are within `edits` edits of each other, each pair once."""
+    wide = forms.select("line", F.encode("line", "UTF-32").alias("w"), F.xxhash64("line").alias("id"))
+    own = wide.withColumn("l", (F.octet_length("w") / 4).cast("int")).withColumn("c", letter_counts(F.col("line"), F.col("l")))
+    index = own.where(F.col("l") > edits).select("id", "c", F.explode(segment_keys(F.col("w"), F.col("l"), edits)).alias("key"))
+    probe = own.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(probe_keys(F.col("w"), F.col("l"), edits)).alias("key2")).where("key2 is not null")
+    longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
+    able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("id") < F.col("id2")))
+    pairs = index.join(probe.hint("merge"), (F.col("key") == F.col("key2")) & able).select("id", "id2").distinct()
+    text = lambda h, x: forms.select(F.xxhash64("line").alias(h), F.col("line").alias(x), F.col("place").alias(f"{x}_place"))
+    full = pairs.join(text("h1", "a").hint("merge"), F.col("id") == F.col("h1")).join(text("h2", "b").hint("merge"), F.col("id2") == F.col("h2"))
+    return saved(within(full.select("a", "b", "a_place", "b_place").where("a <> b"), "a", "b", edits), "line-links")
+
+
+def later_forms(links: DataFrame) -> DataFrame:
     """line, links, goes: the forms with links, how many, and whether one of them leads to an earlier form."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    place = lambda x: forms.select(F.col("line").alias(f"{x}_line"), F.col("place").alias(f"{x}_place"))
-    j = both.join(place("a"), F.col("a") == F.col("a_line")).join(place("b"), F.col("b") == F.col("b_line"))
-    return j.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("links"), F.min("b_place").alias("first"), F.first("a_place").alias("own")).select("line", "links", (F.col("first") < F.col("own")).alias("goes"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_place").alias("a_place"), F.col("a_place").alias("b_place")))
+    j = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("links"), F.min("b_place").alias("first"), F.first("a_place").alias("own"))
+    return j.select("line", "links", (F.col("first") < F.col("own")).alias("goes"))
 
 
 def spent(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """doc_id, at, near of the lines that go."""
     lines = lines_of(docs, least)
     forms = forms_of(lines)
-    near = saved(later_forms(forms, edit_join(forms, edits)), "line-near")
+    near = later_forms(edit_join(forms, edits))
     h = lambda x: (F.xxhash64(x), F.xxhash64(F.lit(1), x))
     goes = near.where("goes").select(*(c.alias(f"g{k}") for k, c in enumerate(h("line"))))
     # By hashes of 128 bits from here on: lines need not be moved again.
