@@ -1 +1 @@
-
+"""Link-analysis operators over DataFrames."""
