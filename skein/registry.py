@@ -357,10 +357,10 @@ def lexical_search(s, d):
     return text.lexical_search(table(s, d, "documents"), "doc_id", "text", ["anon", "ble", "reth"])
 
 
-@query("WITH x AS (SELECT doc_id, source FROM documents WHERE doc_id < 200) SELECT DISTINCT a.doc_id AS handle, b.doc_id AS person, 'source' AS via, 'INFERRED' AS tier FROM x a JOIN x b ON a.source = b.source WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
+@query("WITH x AS (SELECT doc_id, source FROM documents WHERE doc_id < 200) SELECT DISTINCT a.doc_id AS handle, b.doc_id AS person, 'source' AS via, 'INFERRED' AS tier FROM x a JOIN x b ON a.source = b.source WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 = 1")
 def link_handles(s, d):
     x = table(s, d, "documents").where("doc_id < 200").select("doc_id", "source")
-    return text.link_handles(x.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "handle"), x.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "person"), ["source"])
+    return text.link_handles(x.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "handle"), x.where("doc_id % 3 = 1").withColumnRenamed("doc_id", "person"), ["source"])
 
 
 @query()

@@ -33,9 +33,9 @@ def read_cdr(spark: SparkSession, path: str, operator: str = "generic", zone: st
     headers = CDR_HEADERS[operator]
     rows, _ = read_csv(spark, path, {c: "string" for c in headers})
     d = unify(rows, headers, CDR).withColumn("src_zone", F.lit(zone)).withColumn("operator", F.lit(operator))
-    d = d.withColumn("start_ts", instant("start", "src_zone")).withColumn("duration_s", F.expr("try_cast(duration_s as int)"))
+    d = d.withColumn("start_ts", instant("start", F.col("src_zone"))).withColumn("duration_s", F.expr("try_cast(duration_s as int)"))
     d = d.withColumn("a_party", msisdn("a_party")).withColumn("b_party", msisdn("b_party")).withColumn("device", device_key("imei"))
-    return d.drop("start").withColumn("luhn_ok", F.luhn_check("imei")).withColumn("tier", F.lit("OBSERVED")).withColumn("evidence", F.array("call_id"))
+    return d.drop("start").withColumn("luhn_ok", F.expr("luhn_check(imei)")).withColumn("tier", F.lit("OBSERVED")).withColumn("evidence", F.array("call_id"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
