@@ -16,10 +16,10 @@ CDR = ("call_id", "a_party", "b_party", "start", "duration_s", "imei", "imsi", "
 
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the raw lines that don't; nothing is inferred and nothing is lost."""
+    """Rows that fit the schema, and with their raw lines (_reject) those that don't; nothing is inferred and nothing is lost."""
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
     raw = spark.read.schema(f"{schema}, _reject string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_reject").csv(path)
-    return raw.where("_reject is null").drop("_reject"), raw.where("_reject is not null").select("_reject")
+    return raw.where("_reject is null").drop("_reject"), raw.where("_reject is not null")
 
 
 def unify(df: DataFrame, headers: dict[str, str], wanted: tuple[str, ...]) -> DataFrame:
