@@ -8,7 +8,7 @@ an earlier one is at most `edits`; earlier means by (doc_id, place in the text)
 2. Every form of length l is split into edits + 1 even segments; of two forms within the distance the longer has one
    of the shorter's segments, at few possible places (multi-match-aware selection). Hashes of (length, segment number,
    segment) are joined with those of the substrings at these places, for the lengths that are possible.
-3. An edit changes the counts of seven common letters by two at most in sum; the join keeps only pairs that agree so
+3. An edit changes the counts of five common letters by two at most in sum; the join keeps only pairs that agree so
    far. The letters' counts are in one long, compared within the join's own code.
 4. What is left is verified by a banded bit-parallel edit distance: after the common ends are cut, a word holds the
    2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-LETTERS = "etanisr"
+LETTERS = "etani"
 
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -57,7 +57,7 @@ def probe_keys(wide: Column, length: Column, edits: int) -> Column:
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the seven letters, 255 at most, in the lower bytes of a long; the length modulo 256 in the highest."""
+    """Counts of the five letters, 255 at most, in the lower bytes of a long; the length modulo 256 in the highest."""
     out = F.shiftleft((length % 256).cast("bigint"), 56)
     for k, c in enumerate(LETTERS):
         n = F.least(length - F.char_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
@@ -136,21 +136,25 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 
 
 def forms_of(lines: DataFrame) -> DataFrame:
-    """line, place: every distinct line and where it is first."""
-    # The condition keeps the place in every use, so that one exchange serves them all.
-    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("place")).where(F.col("place").isNotNull())
+    """id, place, line: every distinct line, its 64-bit hash, and where it is first.
+
+    The hash alone is the key, so that joins on it need no other exchange; lines that share one are kept apart by the
+    set. The condition keeps the place in every use, so that one exchange serves them all.
+    """
+    g = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min(F.struct("doc_id", "at")).alias("place"), F.collect_set("line").alias("lines"))
+    return g.where(F.col("place").isNotNull()).select("id", "place", F.explode("lines").alias("line"))
 
 
 def edit_join(forms: DataFrame, edits: int) -> DataFrame:
-    """a, b, a_place, b_place: the distinct lines (line, place) that are within `edits` edits of each other, each pair once."""
-    wide = forms.select("line", F.encode("line", "UTF-32").alias("w"), F.xxhash64("line").alias("id"))
-    own = wide.withColumn("l", (F.octet_length("w") / 4).cast("int")).withColumn("c", letter_counts(F.col("line"), F.col("l")))
+    """a, b, a_place, b_place: the distinct lines (id, place, line) that are within `edits` edits of each other, each pair once."""
+    own = forms.select("id", "line", F.encode("line", "UTF-32").alias("w"))
+    own = own.withColumn("l", (F.octet_length("w") / 4).cast("int")).withColumn("c", letter_counts(F.col("line"), F.col("l")))
     index = own.where(F.col("l") > edits).select("id", "c", F.explode(segment_keys(F.col("w"), F.col("l"), edits)).alias("key"))
     probe = own.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(probe_keys(F.col("w"), F.col("l"), edits)).alias("key2")).where("key2 is not null")
     longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
     able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("id") < F.col("id2")))
     pairs = index.join(probe.hint("merge"), (F.col("key") == F.col("key2")) & able).select("id", "id2").distinct()
-    text = lambda h, x: forms.select(F.xxhash64("line").alias(h), F.col("line").alias(x), F.col("place").alias(f"{x}_place"))
+    text = lambda h, x: forms.select(F.col("id").alias(h), F.col("line").alias(x), F.col("place").alias(f"{x}_place"))
     full = pairs.join(text("h1", "a").hint("merge"), F.col("id") == F.col("h1")).join(text("h2", "b").hint("merge"), F.col("id2") == F.col("h2"))
     return saved(within(full.select("a", "b", "a_place", "b_place").where("a <> b"), "a", "b", edits), "line-links")
 
