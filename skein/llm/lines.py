@@ -27,33 +27,24 @@ from .common import saved, table
 LETTERS = "etani"
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of a form of this length; the last ones take what is left over."""
+def places(own: Column, edits: int, less: int | None) -> Column:
+    """(at, size, tag) of the segments of a form of length `own`, or, if `less` is given, of the substrings at which a
+    form that is `less` longer may hold them. Segments are even; the last ones take what is left over.
+    """
     n = edits + 1
-    base, over = F.floor(length / n).cast("int"), (length % n).cast("int")
-    return [(base * i + F.greatest(F.lit(0), over - (n - i)) + 1, base + F.when(F.lit(i) >= n - over, 1).otherwise(0)) for i in range(n)]
-
-
-def _part(wide: Column, at: Column, size: Column) -> Column:
-    """Characters at .. at + size - 1 of a string in UTF-32, found without walking through it."""
-    return F.substring(wide, (at - 1) * 4 + 1, size * 4)
-
-
-def segment_keys(wide: Column, length: Column, edits: int) -> Column:
-    return F.array(*(F.xxhash64(length, F.lit(i), _part(wide, at, size)) for i, (at, size) in enumerate(segments(length, edits))))
+    over = (own % n).cast("int")
+    base, at, out = ((own - over) / n).cast("int"), F.lit(1), []
+    for i in range(n):
+        size = base + (over >= n - i).cast("int")
+        shifts = [0] if less is None else range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+        out += [F.struct((at + shift).alias("at"), size.alias("size"), (own * n + i).alias("tag")) for shift in shifts]
+        at = at + size
+    return F.when(own > edits, F.array(*out)).otherwise(F.array().cast("array<struct<at:int,size:int,tag:int>>"))
 
 
-def probe_keys(wide: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings at which a form may hold a segment of a form that is up to `edits` shorter; nulls between."""
-    keys = []
-    for less in range(edits + 1):
-        own = length - less
-        for i, (at, size) in enumerate(segments(own, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                start = at + shift
-                ok = (own > edits) & (start >= 1) & (start + size - 1 <= length)
-                keys.append(F.when(ok, F.xxhash64(own, F.lit(i), _part(wide, start, size))))
-    return F.array(*keys)
+def keys(wide: Column, found: Column) -> Column:
+    """Hashes of parts of a string in UTF-32, in which a character is found without walking through the string."""
+    return F.transform(found, lambda x: F.xxhash64(x["tag"], F.substring(wide, x["at"] * 4 - 3, x["size"] * 4)))
 
 
 def letter_counts(line: Column, length: Column) -> Column:
@@ -149,8 +140,9 @@ def edit_join(forms: DataFrame, edits: int) -> DataFrame:
     """a, b, a_place, b_place: the distinct lines (id, place, line) that are within `edits` edits of each other, each pair once."""
     own = forms.select("id", "line", F.encode("line", "UTF-32").alias("w"))
     own = own.withColumn("l", (F.octet_length("w") / 4).cast("int")).withColumn("c", letter_counts(F.col("line"), F.col("l")))
-    index = own.where(F.col("l") > edits).select("id", "c", F.explode(segment_keys(F.col("w"), F.col("l"), edits)).alias("key"))
-    probe = own.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(probe_keys(F.col("w"), F.col("l"), edits)).alias("key2")).where("key2 is not null")
+    index = own.select("id", "c", "w", places(F.col("l"), edits, None).alias("at")).select("id", "c", F.explode(keys(F.col("w"), F.col("at"))).alias("key"))
+    spots = F.concat(*(places(F.col("l") - less, edits, less) for less in range(edits + 1)))
+    probe = own.select("id", "c", "w", spots.alias("at")).select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(keys(F.col("w"), F.col("at"))).alias("key2"))
     longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
     able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("id") < F.col("id2")))
     pairs = index.join(probe.hint("merge"), (F.col("key") == F.col("key2")) & able).select("id", "id2").distinct()

@@ -112,7 +112,7 @@ def measure(texts: list[str], limits: Limits) -> list[tuple]:
     return [(*x, r, c, g) for x, r, c, g in zip(base, *sums, longest.tolist())]
 
 
-def rules(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 2_000_000) -> DataFrame:
+def rules(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 500_000) -> DataFrame:
     """The measures of every document with base_failed and kept. One pass without a shuffle."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
@@ -129,7 +129,7 @@ def rules(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 2_000_0
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & passed)
 
 
-def keep(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 2_000_000) -> DataFrame:
+def keep(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 500_000) -> DataFrame:
     """The documents that pass, with all their columns."""
     place = docs.columns.index("text")
 
