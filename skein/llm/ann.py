@@ -3,8 +3,8 @@
 A vector x becomes (x, sqrt(M^2 - |x|^2)) with M the largest norm, and a query is scaled to norm M, so the largest
 inner product is the least distance. Each of `m` Gaussian projections keeps a block's vectors in sorted order. Around
 a query's own projection a window of one radius is opened in every sorted array; a vector collides where it lies in
-the window, that is, where its rank is between the window's ends. The radius starts where windows hold half of the
-block and grows by `step` (virtual rehashing: nothing is hashed again) until at least `share` of the block, and `least` more, have `alpha`
+the window, that is, where its rank is between the window's ends. The radius starts where windows hold a little more than half of
+the block and grows by `step` (virtual rehashing: nothing is hashed again) until at least `share` of the block, and `least` more, have `alpha`
 * m collisions; all of these are verified by the inner product in double precision on the original vectors.
 
 Equal vectors are one class, of which the 21 smallest ids are kept: a query returns 20, and its own is not one of
@@ -38,22 +38,32 @@ class SortedProjections:
         self.rank = np.empty(order.shape, np.uint16)
         np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
 
-    def search(self, q: np.ndarray, k: int, alpha: float = 0.56, share: float = 0.16, least: int = 60, step: float = 1.12) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best vectors found for one query: at least min(k, all) of them."""
+    def search(self, queries: np.ndarray, k: int, alpha: float = 0.56, share: float = 0.16, least: int = 60, step: float = 1.12):
+        """For each query, the places and scores of the vectors found: at least min(k, all) of them."""
         n, m = len(self.x), len(self.a[0])
-        at = np.r_[q * (self.longest / np.sqrt(q @ q)), 0.0] @ self.a
+        at = (np.c_[queries * (self.longest / np.sqrt((queries * queries).sum(axis=1)))[:, None], np.zeros(len(queries))] @ self.a).T
         want, need = min(n, k + least + int(share * n)), int(np.ceil(alpha * m))
-        radius = float(np.median([np.partition(np.abs(s[:: max(1, n // 512)] - v), len(s[:: max(1, n // 512)]) // 2)[len(s[:: max(1, n // 512)]) // 2] for s, v in zip(self.sorted, at)]))
-        radius = max(radius, 1e-12)
-        while True:
-            count = np.zeros(n, np.uint8 if m < 256 else np.uint16)
-            for s, r, v in zip(self.sorted, self.rank, at):
-                lo, hi = np.searchsorted(s, (v - radius, v + radius), side="left")
-                count += (r - np.uint16(lo)) < np.uint16(min(hi - lo, 65535))
-            found = np.flatnonzero(count >= need)
-            if len(found) >= want:
-                return found, self.x[found] @ q
-            radius *= step
+        some = self.sorted[:, :: max(1, n // 64)]
+        radius = np.array([max(1e-12, 1.06 * np.median(np.abs(some - at[:, [i]]))) for i in range(len(queries))])
+        out: list = [None] * len(queries)
+        left, shift, inside = np.arange(len(queries)), np.empty(n, np.uint16), np.empty(n, bool)
+        while len(left):
+            lo = np.stack([np.searchsorted(s, v - radius[left]) for s, v in zip(self.sorted, at[:, left])])
+            wide = np.stack([np.searchsorted(s, v + radius[left]) for s, v in zip(self.sorted, at[:, left])]) - lo
+            lo, wide, again = lo.astype(np.uint16), np.minimum(wide, 65_535).astype(np.uint16), []
+            for c, i in enumerate(left.tolist()):
+                count = np.zeros(n, np.uint8 if m < 256 else np.uint16)
+                for r, a, w in zip(self.rank, lo[:, c], wide[:, c]):
+                    np.less(np.subtract(r, a, out=shift), w, out=inside)
+                    np.add(count, inside, out=count)
+                found = np.flatnonzero(count >= need)
+                if len(found) >= want:
+                    out[i] = found, self.x[found] @ queries[i]
+                else:
+                    again.append(i)
+            left = np.array(again, int)
+            radius[left] *= step
+        return out
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -88,8 +98,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16_
             order = np.argsort(names)  # places in the order of ids, so that a stable sort breaks ties by id
             names = names[order]
             index = SortedProjections(_matrix(x.column("e"))[order], longest, m)
-            for a, b, vec in zip(y.column("h0").to_pylist(), y.column("h1").to_pylist(), _matrix(y.column("e"))):
-                found, score = index.search(vec, k + 1)
+            for a, b, (found, score) in zip(y.column("h0").to_pylist(), y.column("h1").to_pylist(), index.search(_matrix(y.column("e")), k + 1)):
                 take = np.argsort(-score, kind="stable")[: k + 1]
                 ids += names[found[take]].tolist()
                 scores += score[take].tolist()
