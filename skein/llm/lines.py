@@ -8,7 +8,7 @@ an earlier one is at most `edits`; earlier means by (doc_id, place in the text)
 2. Every form of length l is split into edits + 1 even segments; of two forms within the distance the longer has one
    of the shorter's segments, at few possible places (multi-match-aware selection). Hashes of (length, segment number,
    segment) are joined with those of the substrings at these places, for the lengths that are possible.
-3. An edit changes the counts of five common letters by two at most in sum; the join keeps only pairs that agree so
+3. An edit changes the counts of ten common letters by two at most in sum; the join keeps only pairs that agree so
    far. The letters' counts are in one long, compared within the join's own code.
 4. What is left is verified by a banded bit-parallel edit distance: after the common ends are cut, a word holds the
    2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-LETTERS = "etani"
+LETTERS = "etanisrhlo"
 
 
 def places(own: Column, edits: int, less: int | None) -> Column:
@@ -48,19 +48,21 @@ def keys(wide: Column, found: Column) -> Column:
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the five letters, 255 at most, in the lower bytes of a long; the length modulo 256 in the highest."""
+    """Counts of the letters modulo 16, four bits each, in a long; the length modulo 256 in its highest byte."""
     out = F.shiftleft((length % 256).cast("bigint"), 56)
     for k, c in enumerate(LETTERS):
-        n = F.least(length - F.char_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
-        out = out.bitwiseOR(F.shiftleft(n, 8 * k))
+        n = ((length - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("bigint")
+        out = out.bitwiseOR(F.shiftleft(n, 4 * k))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
-    out = F.abs(byte(a, 0) - byte(b, 0))
-    for k in range(1, len(LETTERS)):
-        out = out + F.abs(byte(a, k) - byte(b, k))
+    """Never more than what the counts differ by in sum: each is compared around the circle of 16."""
+    part = lambda x, k: F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15))
+    out = F.lit(0).cast("bigint")
+    for k in range(len(LETTERS)):
+        d = F.abs(part(a, k) - part(b, k))
+        out = out + F.least(d, 16 - d)
     return out
 
 
