@@ -14,7 +14,8 @@ an earlier one is at most `edits`; earlier means by (doc_id, place in the text)
    2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
 
 Edge cases: null or empty texts have no lines; lines of equal (doc_id, place) are ordered arbitrarily but only one of
-them stays; null doc_ids come first; if all lines of a document go, its text is empty. Other columns are kept.
+them stays; null doc_ids come first; if all lines of a document go, its text is empty. Other columns are kept, whatever
+their names; only columns n_copies and n_near of the input give way to the operator's in dedup().
 """
 
 from __future__ import annotations
@@ -176,15 +177,27 @@ def spent(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return x.where(copy | F.col("g0").isNotNull()).select("doc_id", "at", F.col("g0").isNotNull().alias("near"))
 
 
-def dedup(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
-    """docs with the text left, and n_copies, n_near: how many lines went as copies or else as near copies."""
+def cut(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+    """row (a struct of the other columns of docs), text (what is left of it), n_copies and n_near of every document."""
     gone = spent(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "near"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    j = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+    j = d.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
     parts, places = F.split("text", "\n"), F.col("gone.at")
     left = F.filter(parts, lambda x, i: ~F.array_contains(places, i))
-    j = j.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     count = lambda near: F.coalesce(F.size(F.filter("gone", lambda g: g["near"] == near)), F.lit(0)).cast("bigint")
-    return j.select(*docs.columns, count(False).alias("n_copies"), count(True).alias("n_near"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return j.select("row", text.alias("text"), count(False).alias("n_copies"), count(True).alias("n_near"))
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """These columns out of row, but for those given anew."""
+    return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns]
+
+
+def dedup(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+    """docs with the text left, and n_copies, n_near: how many lines went as copies or else as near copies."""
+    counts = ["n_copies", "n_near"]
+    return cut(docs, edits, least).select(*unpacked([c for c in docs.columns if c not in counts], text=F.col("text")), *counts)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

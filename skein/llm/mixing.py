@@ -12,7 +12,9 @@ blocks as any other of its size, and no window runs over documents but in the on
 
 Edge cases: a null text has size 0; the null source is a source, ordered last; rows of equal doc_id
 stand in the same block, ordered by their texts' hashes; a source of size
-0 has target 0 and gives nothing; an empty table gives an empty mix. Columns of other names are ignored.
+0 has target 0 and gives nothing; an empty table gives an empty mix. Other
+columns are kept, whatever their names; only columns mix_size, mix_pass, mix_shard and mix_place of the input give way
+to the operator's in mix().
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ def marked(docs: DataFrame, blocks: int = 512, seed: int = 20240) -> DataFrame:
 
 def measured(docs: DataFrame, blocks: int = 512, seed: int = 20240) -> DataFrame:
     """doc_id, source, _size and marks of every document, without its text: words are counted once."""
-    return saved(marked(docs, blocks, seed).select("doc_id", "source", n_words("text").alias("_size"), "_own", "_block", "_tie"), "mix-sizes")
+    return saved(marked(docs.select("doc_id", "source", "text"), blocks, seed).select("doc_id", "source", n_words("text").alias("_size"), "_own", "_block", "_tie"), "mix-sizes")
 
 
 def block_draws(d: DataFrame, weights: tuple[float, ...], share: float, most: float, shards: int, seed: int) -> DataFrame:
@@ -139,17 +141,23 @@ def taken(d: DataFrame, draws: DataFrame, *more: str) -> DataFrame:
     return both.select(*more, F.col("_size").alias("size"), "source_size", "target", F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"))).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = 512, shards: int = 8, seed: int = 20240) -> DataFrame:
-    """The mix: every column of docs with mix_size, mix_pass, mix_shard and mix_place (the order in a shard).
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = 512, shards: int = 8, seed: int = 20240) -> DataFrame:
+    """The mix: row (a struct of the columns of docs) with mix_size, mix_pass, mix_shard and mix_place (the order in a shard).
 
     A document stands as often as it is taken. `shards` is a power of two.
     """
     draws = block_draws(measured(docs, blocks, seed), weights, share, most, shards, seed)
-    kept = F.struct(*docs.columns).alias("_row")
-    d = marked(docs, blocks, seed).select(kept, "source", n_words("text").alias("_size"), "_own", "_block", "_tie")
-    out = taken(d, draws, "_row", "_own", "_tie").select("_row", "size", "_own", "_tie", F.explode("copies").alias("c"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text")
+    d = marked(whole, blocks, seed).select("row", "source", n_words("text").alias("_size"), "_own", "_block", "_tie")
+    out = taken(d, draws, "row", "_own", "_tie").select("row", "size", "_own", "_tie", F.explode("copies").alias("c"))
     place = F.xxhash64(F.lit(seed + 3), "c.pass", "_own", "_tie")
-    return out.select("_row.*", F.col("size").alias("mix_size"), F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), place.alias("mix_place"))
+    return out.select("row", F.col("size").alias("mix_size"), F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), place.alias("mix_place"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """mixed() with every column of docs by itself."""
+    marks = ["mix_size", "mix_pass", "mix_shard", "mix_place"]
+    return mixed(docs, **how).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in marks), *marks)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,8 @@ def keep(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 500_000)
                     ok.append(n >= limits.least_words and r <= limits.max_repeat_words * n and c <= limits.max_covered * n and g <= limits.max_repeat)
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow can't take names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skein.llm import ann, bpe, components, langid, lines, minhash, mixing, mlm, planes, repetition, sufdedup
@@ -245,3 +246,31 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and all(r["n_tokens"] == len(r["ids"]) for r in got)
     assert len({r["doc_id"] for r in got} & {4, 5, 6, 7}) <= 1
+
+
+CLASHING = ["row", "gone", "gone_id", "n_copies", "n_near", "at", "line", "kept", "key", "spans", "s", "b", "parts", "draws", "size", "target", "copies", "mix_size", "mix_pass", "_own", "_block", "_tie", "_size", "sketch", "n_words", "ids", "dotted.name"]
+rows_of = lambda d: sorted(repr((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])) for r in d.collect())
+
+
+def with_clashes(docs):
+    return docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(CLASHING)))
+
+
+def test_stages_keep_columns_of_clashing_names(spark, docs):
+    import corpus_pipeline
+
+    more = with_clashes(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, None)
+        assert out.columns == more.columns, name
+        assert all(r[c] == i for r in out.collect() for i, c in enumerate(CLASHING)), name
+        assert rows_of(out) == rows_of(stage(spark, docs, None)), name
+
+
+def test_operators_take_columns_of_clashing_names(spark, docs):
+    more = with_clashes(docs)
+    for f in (lines.dedup, mixing.mix):
+        out = f(more)
+        assert sorted(out.columns) == sorted({*more.columns, *f(docs).columns}) and rows_of(out) == rows_of(f(docs))
+    for f in (repetition.rules, minhash.near_duplicates, sufdedup.dedup):
+        assert sorted(map(repr, f(more).collect())) == sorted(map(repr, f(docs).collect()))
