@@ -25,20 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; documents of which no line is left go."""
-    d = lines.dedup(docs)
+    d = lines.cut(docs)
     empty = (F.col("n_copies") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return d.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint"))).select(*docs.columns)
+    n_chars = F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint"))
+    return d.where(~F.coalesce(empty, F.lit(False))).select(*lines.unpacked(docs.columns, text=F.col("text"), n_chars=n_chars))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: the least doc_id."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mixed(docs).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
