@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the least doc_id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each component of near-duplicates (similarity of 0.8 or more): the least doc_id."""
+    gone = minhash.near_duplicates(docs, percent=80, share=0.4).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

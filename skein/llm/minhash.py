@@ -6,7 +6,7 @@ words is one shingle, one without words none. The `keep` least values are its sk
 1. Documents of equal sets are one class, by a 128-bit digest of the set; its least doc_id stands for it.
 2. Inverted lists hold the retained values: a class posts those of its `post` least values with the shortest lists.
    Two sets of similarity s share about s * post of them, so if a sharing of less than `share` of them is ruled out
-   (for s = 0.85, post = 32 and share = 0.44 its chance is under 1e-6), leaving out so many of the longest lists, less
+   (for post = 32, s = 0.85 and share = 0.44, or s = 0.8 and share = 0.4, its chance is under 1e-6), leaving out so many of the longest lists, less
    one, loses no pair. Values in many documents (a common passage) are thus hardly ever posted.
 3. In each list all classes meet the one whose values are the most common: of a group of copies, the form they come from. The union sketch of a pair (the least values of both) estimates its
    similarity; estimates more than six standard deviations too low are dropped, the others are decided on full sets.

@@ -248,6 +248,24 @@ def test_pipeline(spark, tmp_path):
     assert len({r["doc_id"] for r in got} & {4, 5, 6, 7}) <= 1
 
 
+def test_near_dedup_stage_by_brute_force(spark):
+    import corpus_pipeline
+
+    rng, texts = random.Random(8), []
+    for k in range(30):
+        base = [f"w{k}x{rng.randrange(10_000)}" for _ in range(300)]
+        for changes in (0, rng.randint(3, 8)):
+            w = list(base)
+            for i in range(changes):
+                w[20 + 30 * i] = f"new{rng.randrange(10_000)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = {i: len(sets[i - 1] & sets[i]) / len(sets[i - 1] | sets[i]) for i in range(1, len(texts), 2)}
+    assert any(0.8 <= s < 0.85 for s in share.values()) and min(share.values()) < 0.8
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, None).collect()} == {i for i in range(len(texts)) if share.get(i, 0) < 0.8}
+
+
 CLASHING = ["row", "gone", "gone_id", "n_copies", "n_near", "at", "line", "kept", "key", "spans", "s", "b", "parts", "draws", "size", "target", "copies", "mix_size", "mix_pass", "_own", "_block", "_tie", "_size", "sketch", "n_words", "ids", "dotted.name"]
 rows_of = lambda d: sorted(repr((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])) for r in d.collect())
 
