@@ -83,10 +83,12 @@ class PieceIds:
     """Ids of texts by the tokenizers library, asked once for each distinct piece that a worker remembers.
 
     The library's byte-level models split a text by the pattern before any merge, so a piece has the same ids alone
-    as in its text. Models with a normalizer, or a split other than the pattern, are refused.
+    as in its text. Models with a normalizer, or a split other than the pattern, are refused. With `added`, as the
+    library does by default, texts are first cut at the model's added tokens, which have their own ids; without it,
+    what special tokens look like is encoded as any text.
     """
 
-    def __init__(self, data: bytes, pattern: str, held: int = 400_000):
+    def __init__(self, data: bytes, pattern: str, held: int = 400_000, added: bool = False):
         import json
 
         import regex
@@ -99,14 +101,27 @@ class PieceIds:
         self.model = Tokenizer.from_str(data.decode())
         self.model.encode_special_tokens = True
         (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
-        self.pattern, self.held, self.seen = regex.compile(pattern), held, {}
+        tokens = made.get("added_tokens", []) if added else []
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or "\n" in t["content"] for t in tokens):
+            raise ValueError("only added tokens that stand for themselves can be cut out")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.pattern, self.held, self.seen = regex.compile(pattern), held, dict(self.added)
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text, added tokens among them."""
+        if not any(t in text for t in self.added):
+            return self.pattern.findall(text)
+        parts = self.cut.split(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pattern.findall(part))]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [self.pattern.findall(t) for t in texts]
+        split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.seen)
         if len(new) + len(self.seen) > self.held:
-            self.seen, new = {}, set().union(*split)
+            self.seen = dict(self.added)
+            new = set().union(*split).difference(self.seen)
         # Pieces without white space at the end are asked together, a line each: the pattern splits at every line's end.
         lone = [p for p in new if p[-1].isspace()]
         for p, got in zip(lone, self.model.encode_batch_fast(lone, add_special_tokens=False)):
@@ -124,21 +139,21 @@ class PieceIds:
         return [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in split]
 
 
-_made: dict[bytes, PieceIds] = {}
+_made: dict[tuple[bytes, bool], PieceIds] = {}
 
 
-def _model(data: bytes, pattern: str) -> PieceIds:
+def _model(data: bytes, pattern: str, added: bool = False) -> PieceIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-    key = hashlib.sha256(data).digest()
+    key = hashlib.sha256(data).digest(), added
     if key not in _made:
-        _made[key] = PieceIds(data, pattern)
+        _made[key] = PieceIds(data, pattern, added=added)
     return _made[key]
 
 
 def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segment_ids: int = 1 << 18, block: int = 65_536, planes: int = 4) -> None:
-    """Encode every whole text and write its ids in ascending doc_id order.
+    """Encode every whole text, as the library does by default, and write its ids in ascending doc_id order.
 
     Range partitioning by (doc_id, hash of the text) with sampled bounds gives the shards; the model is one
     vocabulary, broadcast whatever the size of the data.
@@ -151,7 +166,7 @@ def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard, seg = _model(sent.value, pattern).encode_batch, TaskContext.get().partitionId(), 0
+        encode, shard, seg = _model(sent.value, pattern, added=True).encode_batch, TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in texts], 1_000_000):

@@ -69,6 +69,19 @@ def test_planes_round_trip_and_files(spark, docs, none, tmp_path):
     assert planes.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_planes_take_added_tokens_as_the_library_does(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [*ODD[:60], end, end * 2, f"a {end} b", f"x  {end}\n\n{end}y <|endoftext| {end}", f"<|{end}|>", *(f"{a}{end}{b}" for a, b in itertools.pairwise(ODD[8:60]))]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, start = planes.op3_id_planes(spark, str(tmp_path)).orderBy("doc_id").collect(), 0
+    assert t.encode(end, add_special_tokens=False).ids == [50256] and len(got) == len(texts)
+    for r, text in zip(got, texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_repetition_by_brute_force(docs, none):
     for _ in range(40):
         parts = [[R.randint(0, R.choice([1, 3, 9])) for _ in range(R.randint(0, 30))] for _ in range(4)]
