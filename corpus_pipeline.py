@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; documents of which no line is left go."""
-    d = lines.cut(docs)
+    d = lines.cut(docs, exact=1)
     empty = (F.col("n_copies") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint"))
     return d.where(~F.coalesce(empty, F.lit(False))).select(*lines.unpacked(docs.columns, text=F.col("text"), n_chars=n_chars))

@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line is a part of a text between line feeds; one of fewer than `least` characters, or without a word, is never
-touched. A line goes if it equals an earlier one, or if its edit distance (insert, delete, substitute a character) to
-an earlier one is at most `edits`; earlier means by (doc_id, place in the text) of the first line of the same form.
+A line is a part of a text between line feeds; one without a word is never touched. A line goes if it equals an
+earlier one and has `exact` characters or more, or if its edit distance (insert, delete, substitute a character) to an
+earlier one is at most `edits` and both have `least` characters or more; earlier means by (doc_id, place in the text)
+of the first line of the same form. The operator and the pipeline take copies of any length (exact = 1).
 
 1. Lines are aggregated to distinct forms, so copies are never paired.
 2. Every form of length l is split into edits + 1 even segments; of two forms within the distance the longer has one
@@ -161,10 +162,10 @@ def later_forms(links: DataFrame) -> DataFrame:
     return j.select("line", "links", (F.col("first") < F.col("own")).alias("goes"))
 
 
-def spent(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def spent(docs: DataFrame, edits: int, least: int, exact: int) -> DataFrame:
     """doc_id, at, near of the lines that go."""
-    lines = lines_of(docs, least)
-    forms = forms_of(lines)
+    lines = lines_of(docs, exact)
+    forms = forms_of(lines_of(docs, least))
     near = later_forms(edit_join(forms, edits))
     h = lambda x: (F.xxhash64(x), F.xxhash64(F.lit(1), x))
     goes = near.where("goes").select(*(c.alias(f"g{k}") for k, c in enumerate(h("line"))))
@@ -177,9 +178,12 @@ def spent(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return x.where(copy | F.col("g0").isNotNull()).select("doc_id", "at", F.col("g0").isNotNull().alias("near"))
 
 
-def cut(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
-    """row (a struct of the other columns of docs), text (what is left of it), n_copies and n_near of every document."""
-    gone = spent(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "near"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
+def cut(docs: DataFrame, edits: int = 2, least: int = 20, exact: int | None = None) -> DataFrame:
+    """row (a struct of the other columns of docs), text (what is left of it), n_copies and n_near of every document.
+
+    exact: the least length of a line that goes as a copy; that of near copies if not given.
+    """
+    gone = spent(docs, edits, least, least if exact is None else exact).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "near"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
     j = d.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
     parts, places = F.split("text", "\n"), F.col("gone.at")
@@ -194,12 +198,12 @@ def unpacked(columns: list[str], **new: Column) -> list[Column]:
     return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns]
 
 
-def dedup(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = 2, least: int = 20, exact: int | None = None) -> DataFrame:
     """docs with the text left, and n_copies, n_near: how many lines went as copies or else as near copies."""
     counts = ["n_copies", "n_near"]
-    return cut(docs, edits, least).select(*unpacked([c for c in docs.columns if c not in counts], text=F.col("text")), *counts)
+    return cut(docs, edits, least, exact).select(*unpacked([c for c in docs.columns if c not in counts], text=F.col("text")), *counts)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=1)
     return d.select("doc_id", "n_copies", "n_near", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("lines_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -137,6 +137,19 @@ def test_line_dedup_rows(spark, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_line_dedup_takes_short_copies(spark, tmp_path):
+    texts = ["Read more\na line that is long enough to stay\nRead more\n\nx", "Read more\nRead mole\n\nx\n  ", "x", None]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    left = ["Read more\na line that is long enough to stay\n\nx", "Read mole\n\n  ", "", None]
+    got = {r["doc_id"]: r for r in lines.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["text_sha256"] for i in range(4)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in left]
+    assert [(got[i]["n_copies"], got[i]["n_near"]) for i in range(4)] == [(1, 0), (2, 0), (1, 0), (0, 0)]
+    import corpus_pipeline
+
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, d, None).collect()} == {0: left[0], 1: left[1], 3: None}
+
+
 def test_mixing_targets(spark, docs, none):
     rows = [(i, " ".join(["w"] * R.randint(0, 30)), "en", R.choice(["a", "a", "a", "b", None])) for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
