@@ -1,20 +1,24 @@
 """LM scoring by masked pseudo-likelihood: every word is predicted from the words on both its sides.
 
-The vocabulary holds the `size - 1` commonest words of the corpus, counted over all documents; the others are one
-unknown word. A network embeds the two words before and the two after the masked place (beyond a text's ends: a
-padding word), one tanh layer reads them, and a two-level softmax (64 groups of words, 64 words in a group) gives the
-probability of the masked word. A document's score is the sum of the log-probabilities of all its words.
+The vocabulary holds the commonest words of the corpus, counted over all documents, in groups of 64: 64 groups, and more
+with the root of the number of distinct words (words as common as the first that has no place are left out with it).
+Every other word is the class 0, and is spelled: each byte is predicted from the three before it by interpolated counts
+(Witten-Bell) over all such words of the corpus, less what that gives to words of the vocabulary. A network embeds the
+two words before and the two after the masked place (beyond a text's ends: a padding word), one tanh layer reads them,
+and a two-level softmax (groups of words, 64 words in a group) gives the probability of the masked word or class. A
+document's score is the sum of the log-probabilities of all its words.
 
 Training masks one place in `every` of every document, by a hash of its context. Each partition trains from the same
 seeded start on its own places, and the networks are averaged, weighted by their places (sums by part of the network
 and salt, so that no task meets all networks). What is counted and trained on grows with the corpus.
 
 Edge cases: null or empty texts have no words, log_likelihood 0 and a null mean; equal texts get equal scores; an
-empty corpus has the unknown word alone.
+empty corpus has no vocabulary, and all bytes are alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,22 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import drop_saved, saved, slices, table
 
 GROUPS, IN_GROUP, SIDE, DIM, HIDDEN = 64, 64, 2, 8, 16
-SIZE, PAD = GROUPS * IN_GROUP, GROUPS * IN_GROUP
+SIZE, PAD = GROUPS * IN_GROUP, -1  # the last row of e
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SHAPES = {"e": (SIZE + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "gw": (HIDDEN, GROUPS), "gb": (GROUPS,), "iw": (GROUPS, HIDDEN, IN_GROUP), "ib": (GROUPS, IN_GROUP)}
 CHUNK = 4096
+BYTES, BEFORE, HELD = 257, 3, 300_000  # 256 stands before a word and at its end
+
+
+def shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    return {"e": (groups * IN_GROUP + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "gw": (HIDDEN, groups), "gb": (groups,), "iw": (groups, HIDDEN, IN_GROUP), "ib": (groups, IN_GROUP)}
+
+
+def groups_for(distinct: int, least: int = GROUPS) -> int:
+    """Groups of the vocabulary of a corpus of so many distinct words."""
+    return max(least, math.isqrt(distinct) // 16)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def fresh(seed: int = 5) -> dict[str, np.ndarray]:
+def fresh(seed: int = 5, groups: int = GROUPS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k in ("b", "gb", "ib") else rng.normal(0, 0.1 if k == "e" else 0.3, s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (np.zeros(s) if k in ("b", "gb", "ib") else rng.normal(0, 0.1 if k == "e" else 0.3, s)).astype(np.float32) for k, s in shapes(groups).items()}
 
 
 def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -68,8 +81,8 @@ def log_probs(net: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     group, inner = ids // IN_GROUP, ids % IN_GROUP
     out = _log_softmax(h @ net["gw"] + net["gb"])[np.arange(len(ids)), group]
     order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    edge = np.searchsorted(group[order], np.arange(len(net["gb"]) + 1))
+    for g in range(len(net["gb"])):
         rows = order[edge[g] : edge[g + 1]]
         if len(rows):
             out[rows] += _log_softmax(h[rows] @ net["iw"][g] + net["ib"][g])[np.arange(len(rows)), inner[rows]]
@@ -97,7 +110,7 @@ def train(net: dict, ctx: np.ndarray, ids: np.ndarray, epochs: int = 2, batch: i
             back = d @ net["gw"].T
             gw, gb = h.T @ d, d.sum(axis=0)
             by = np.argsort(group, kind="stable")
-            edge = np.searchsorted(group[by], np.arange(GROUPS + 1))
+            edge = np.searchsorted(group[by], np.arange(len(net["gb"]) + 1))
             for g in np.flatnonzero(np.diff(edge)).tolist():
                 rows = by[edge[g] : edge[g + 1]]
                 p = np.exp(_log_softmax(h[rows] @ net["iw"][g] + net["ib"][g]))
@@ -117,16 +130,76 @@ def train(net: dict, ctx: np.ndarray, ids: np.ndarray, epochs: int = 2, batch: i
             move("e", e, used)
 
 
-def _ids(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every byte and end of the words, each with the BEFORE bytes before it, and how many each word has."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    signs = np.full(int(size.sum()) + (BEFORE + 1) * len(words), BYTES - 1, np.int64)
+    place = np.arange(int(size.sum())) + np.repeat(np.arange(len(words)) * (BEFORE + 1) + BEFORE, size)
+    signs[place] = np.frombuffer(b"".join(words), np.uint8)
+    at = np.arange(int(size.sum()) + len(words)) + np.repeat(np.arange(1, len(words) + 1) * BEFORE, size + 1)
+    key = signs[at - BEFORE]
+    for j in range(BEFORE - 1, -1, -1):
+        key = key * BYTES + signs[at - j]
+    return key, size + 1
+
+
+class Spelling:
+    """Probabilities of words by their bytes, from the counts of all keys of spelled()."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.levels, self.rest = [], 0.0
+        for k in range(BEFORE + 1 if len(keys) else 0):
+            key, place = np.unique(keys % BYTES ** (k + 1), return_inverse=True)
+            n = np.bincount(place, counts, len(key))
+            before, start = np.unique(key // BYTES, return_index=True)
+            self.levels.append((key, n, before, np.add.reduceat(n, start), np.diff([*start, len(key)])))
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        p = np.full(len(keys), 1 / BYTES)
+        for k, (key, n, before, total, kinds) in enumerate(self.levels):
+            own = keys % BYTES ** (k + 1)
+            i = np.minimum(np.searchsorted(key, own), len(key) - 1)
+            j = np.minimum(np.searchsorted(before, own // BYTES), len(before) - 1)
+            p = np.where(before[j] == own // BYTES, (np.where(key[i] == own, n[i], 0) + kinds[j] * p) / (total[j] + kinds[j]), p)
+        return p
+
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word, given that it is none of the vocabulary."""
+        if not words:
+            return np.zeros(0)
+        keys, size = spelled(words)
+        return np.add.reduceat(np.log(self.of_keys(keys)), np.cumsum(size) - size) - self.rest
+
+    def leave_out(self, words: list[bytes]) -> None:
+        """What these words have goes to all others."""
+        self.rest = float(np.log1p(-np.exp(self.log_probs(words)).sum()))
+
+
+class Vocabulary(dict):
+    """Ids of words, from 1, for a network of so many groups, and the spelling of all other words."""
+
+    def __init__(self, words: list[bytes], groups: int, spelling: Spelling):
+        super().__init__((w, k) for k, w in enumerate(words, 1))
+        self.groups, self.spelling = groups, spelling
+
+    def __reduce__(self):
+        return Vocabulary, (list(self), self.groups, self.spelling)
+
+
+def _ids(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[int], list[bytes]]:
+    """Ids of the words, their documents, the words of each document, and all words."""
     words = [words_of(t) for t in texts]
     counts = [len(w) for w in words]
+    flat = [w for part in words for w in part]
     get = vocab.get
-    ids = np.fromiter((get(w, 0) for part in words for w in part), np.int32, sum(counts))
-    return ids, np.repeat(np.arange(len(texts)), counts), counts
+    ids = np.fromiter((get(w, 0) for w in flat), np.int32, len(flat))
+    return ids, np.repeat(np.arange(len(texts)), counts), counts, flat
 
 
-def vocabulary(docs: DataFrame, size: int = SIZE) -> dict[bytes, int]:
-    """Ids of the commonest words, from 1; counts cover all documents, the driver gets `size` - 1 words."""
+def vocabulary(docs: DataFrame, size: int = SIZE) -> Vocabulary:
+    """The commonest words, `size` - 1 of them or more in a large corpus, and the spelling of the others; counts cover
+    all documents. The driver gets the words, how many words there are of each count, and the counts of four bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -139,11 +212,32 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> dict[bytes, int]:
                     n.clear()
         yield out()
 
-    counted = docs.where("text is not null").select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): k for k, r in enumerate(counted.orderBy(F.desc("n"), "word").limit(size - 1).collect(), 1)}
-
-
-def fit(docs: DataFrame, vocab: dict[bytes, int], every: int = 16, salts: int = 64) -> dict[str, np.ndarray]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for a, b in slices([len(w) for w in words], 1_000_000):
+                keys, sizes = spelled(words[a:b])
+                key, place = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, np.repeat(n[a:b], sizes)).astype(np.int64))], names=["key", "n"])
+
+    counted = saved(docs.where("text is not null").select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    by_count = sorted(((r["n"], r["words"]) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    groups, taken, least = groups_for(sum(words for _, words in by_count), size // IN_GROUP), 0, math.inf
+    for n, words in by_count:
+        taken += words
+        if taken >= groups * IN_GROUP:
+            break
+        least = n
+    common = F.col("n") >= F.lit(least)
+    words = [bytes(r["word"]) for r in sorted(counted.where(common).collect(), key=lambda r: (-r["n"], r["word"]))]
+    rest = counted.where(~common).mapInArrow(spell, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    drop_saved(counted)
+    spelling = Spelling(rest.column("key").to_numpy(), rest.column("n").to_numpy())
+    spelling.leave_out(words)
+    return Vocabulary(words, groups, spelling)
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, every: int = 16, salts: int = 64) -> dict[str, np.ndarray]:
     """The averaged network."""
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
@@ -154,7 +248,7 @@ def fit(docs: DataFrame, vocab: dict[bytes, int], every: int = 16, salts: int =
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1_000_000):
-                y, doc, _ = _ids(texts[a:b], sent.value)
+                y, doc, _, _ = _ids(texts[a:b], sent.value)
                 c = contexts(y, doc)
                 key = (c.astype(np.uint32) * np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)).sum(axis=1, dtype=np.uint32) + y.astype(np.uint32)
                 masked = (key * np.uint32(2654435761) >> np.uint32(16)) % every == 0
@@ -162,9 +256,9 @@ def fit(docs: DataFrame, vocab: dict[bytes, int], every: int = 16, salts: int =
                 ids.append(y[masked])
         n = sum(map(len, ids))
         if n:
-            net = fresh()
+            net = fresh(groups=sent.value.groups)
             train(net, np.concatenate(ctx), np.concatenate(ids))
-            flat = np.concatenate([net[k].reshape(-1) for k in SHAPES]).astype(np.float64) * n
+            flat = np.concatenate([net[k].reshape(-1) for k in shapes(sent.value.groups)]).astype(np.float64) * n
             for k, a in enumerate(range(0, len(flat), CHUNK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[a : a + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "n", "data"])
 
@@ -178,28 +272,36 @@ def fit(docs: DataFrame, vocab: dict[bytes, int], every: int = 16, salts: int =
     some = nets.withColumn("part", F.col("part") % salts).groupBy("chunk", "part").applyInArrow(total, schema)
     rows = sorted(some.groupBy("chunk").applyInArrow(total, schema).collect(), key=lambda r: r["chunk"])  # one network
     if not rows:
-        return fresh()
+        return fresh(groups=vocab.groups)
     flat, out, a = np.concatenate([np.frombuffer(r["data"], np.float64) / r["n"] for r in rows]), {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(vocab.groups).items():
         out[k] = flat[a : a + int(np.prod(s))].reshape(s).astype(np.float32)
         a += int(np.prod(s))
     return out
 
 
-def score(docs: DataFrame, vocab: dict[bytes, int], net: dict[str, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, net: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, n_words, n_unknown, log_likelihood, mean of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = sent.value
+        (vocab, net), seen = sent.value, {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 500_000):
-                ids, doc, counts = _ids(texts[a:b], vocab)
+                ids, doc, counts, flat = _ids(texts[a:b], vocab)
                 got = np.zeros(len(ids))
                 c = contexts(ids, doc)
                 for k in range(0, len(ids), 16_384):
                     got[k : k + 16_384] = log_probs(net, c[k : k + 16_384], ids[k : k + 16_384])
+                other = np.flatnonzero(ids == 0)
+                words = [flat[i] for i in other.tolist()]
+                new = set(words).difference(seen)
+                if len(seen) + len(new) > HELD:
+                    seen, new = {}, set(words)
+                new = list(new)
+                seen.update(zip(new, vocab.spelling.log_probs(new).tolist()))
+                got[other] += np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
                 total = np.bincount(doc, got, b - a) if len(ids) else np.zeros(b - a)
                 unknown = np.bincount(doc, ids == 0, b - a).astype(np.int64) if len(ids) else np.zeros(b - a, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(unknown), pa.array(total)], names=["doc_id", "n_words", "n_unknown", "log_likelihood"])

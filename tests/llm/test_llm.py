@@ -265,6 +265,28 @@ def test_masked_lm(docs, none):
     assert mlm.score(none, *(lambda v: (v, mlm.fit(none, v)))(mlm.vocabulary(none))).count() == 0
 
 
+def test_masked_lm_spells_words_outside_the_vocabulary(spark):
+    rng = random.Random(3)
+    rare = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(9_000)]
+    d = spark.createDataFrame([(i, "the word is " + " of ".join(rare[i * 30 : i * 30 + 30])) for i in range(300)], "doc_id long, text string")
+    vocab = mlm.vocabulary(d)
+    assert vocab.groups == mlm.GROUPS and {b"the", b"word", b"is", b"of"} <= set(vocab)
+    s = vocab.spelling
+    for before in (0, 256 * 257**2 + 256 * 257 + 256, 97 * 257**2 + 98 * 257 + 99, 5):
+        assert abs(s.of_keys(before * 257 + np.arange(257)).sum() - 1) < 1e-9
+    words = [b"", b"a", b"abc", b"abcdefgha", "l'été".encode()]
+    keys, sizes = mlm.spelled(words)
+    want = [(bytes([]), 256)]
+    for w in words[1:]:
+        want += [(w[max(0, i - 3) : i], [*w, 256][i]) for i in range(len(w) + 1)]
+    pad = lambda b: [256] * (3 - len(b)) + list(b)
+    assert sizes.tolist() == [len(w) + 1 for w in words] and keys.tolist() == [sum(x * 257 ** (3 - i) for i, x in enumerate([*pad(b), c])) for b, c in want]
+    texts = ["the word is abcdefg", "the word is hgfedcb", "the word is zqxj#%1"]
+    got = {r["doc_id"]: r for r in mlm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocab, mlm.fit(d, vocab)).collect()}
+    assert all(got[i]["n_unknown"] == 1 for i in range(3)) and got[0]["log_likelihood"] != got[1]["log_likelihood"] and min(got[0]["log_likelihood"], got[1]["log_likelihood"]) > got[2]["log_likelihood"] + 5
+    assert mlm.groups_for(1_000) == mlm.GROUPS and mlm.groups_for(10**8) > 2 * mlm.groups_for(10**7) > 4 * mlm.GROUPS
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
