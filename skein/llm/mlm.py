@@ -8,9 +8,9 @@ two words before and the two after the masked place (beyond a text's ends: a pad
 and a two-level softmax (groups of words, 64 words in a group) gives the probability of the masked word or class. A
 document's score is the sum of the log-probabilities of all its words.
 
-Training masks one place in `every` of every document, by a hash of its context. Each partition trains from the same
-seeded start on its own places, and the networks are averaged, weighted by their places (sums by part of the network
-and salt, so that no task meets all networks). What is counted and trained on grows with the corpus.
+Training masks every place of every document once. Each partition trains from the same seeded start on its own places,
+a slice of texts at a time, and the networks are averaged, weighted by their places (sums by part of the network and
+salt, so that no task meets all networks). What is counted and trained on grows with the corpus.
 
 Edge cases: null or empty texts have no words, log_likelihood 0 and a null mean; equal texts get equal scores; an
 empty corpus has no vocabulary, and all bytes are alike.
@@ -89,9 +89,13 @@ def log_probs(net: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(net: dict, ctx: np.ndarray, ids: np.ndarray, epochs: int = 2, batch: int = 4096, rate: float = 0.15) -> None:
-    """Adagrad on the masked places, in place."""
-    seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.items()}
+def squares(net: dict) -> dict[str, np.ndarray]:
+    return {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.items()}
+
+
+def train(net: dict, ctx: np.ndarray, ids: np.ndarray, epochs: int = 2, batch: int = 4096, rate: float = 0.15, seen: dict | None = None) -> None:
+    """Adagrad on the masked places, in place; seen holds the squares of what came before, from squares()."""
+    seen = squares(net) if seen is None else seen
 
     def move(k, grad, at=...):
         seen[k][at] += grad * grad
@@ -237,27 +241,28 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> Vocabulary:
     return Vocabulary(words, groups, spelling)
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, every: int = 16, salts: int = 64) -> dict[str, np.ndarray]:
+def learn(lists: Iterator[list[str | None]], vocab: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
+    """A network that met every place of the texts once, and the number of places."""
+    net, n = fresh(groups=vocab.groups), 0
+    seen = squares(net)
+    for texts in lists:
+        for a, b in slices([len(t or "") for t in texts], 1_000_000):
+            ids, doc, _, _ = _ids(texts[a:b], vocab)
+            train(net, contexts(ids, doc), ids, epochs=1, seen=seen)
+            n += len(ids)
+    return net, n
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, salts: int = 64) -> dict[str, np.ndarray]:
     """The averaged network."""
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ctx, ids = TaskContext.get().partitionId(), [], []
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1_000_000):
-                y, doc, _, _ = _ids(texts[a:b], sent.value)
-                c = contexts(y, doc)
-                key = (c.astype(np.uint32) * np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)).sum(axis=1, dtype=np.uint32) + y.astype(np.uint32)
-                masked = (key * np.uint32(2654435761) >> np.uint32(16)) % every == 0
-                ctx.append(c[masked])
-                ids.append(y[masked])
-        n = sum(map(len, ids))
+        part = TaskContext.get().partitionId()
+        net, n = learn((batch.column(0).to_pylist() for batch in batches), sent.value)
         if n:
-            net = fresh(groups=sent.value.groups)
-            train(net, np.concatenate(ctx), np.concatenate(ids))
             flat = np.concatenate([net[k].reshape(-1) for k in shapes(sent.value.groups)]).astype(np.float64) * n
             for k, a in enumerate(range(0, len(flat), CHUNK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[a : a + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "n", "data"])

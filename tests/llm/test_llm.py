@@ -287,6 +287,25 @@ def test_masked_lm_spells_words_outside_the_vocabulary(spark):
     assert mlm.groups_for(1_000) == mlm.GROUPS and mlm.groups_for(10**8) > 2 * mlm.groups_for(10**7) > 4 * mlm.GROUPS
 
 
+def test_masked_lm_trains_on_every_place(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 80))) for _ in range(60)] + [None, ""]
+    vocab = mlm.Vocabulary([f"w{i}".encode() for i in range(40)], mlm.GROUPS, mlm.Spelling(np.zeros(0, np.int64), np.zeros(0)))
+    met, train = [], mlm.train
+
+    def watched(net, ctx, ids, **more):
+        met.extend(zip(map(tuple, ctx.tolist()), ids.tolist()))
+        train(net, ctx, ids, **more)
+
+    monkeypatch.setattr(mlm, "train", watched)
+    net, n = mlm.learn(iter([texts[:20], texts[20:], []]), vocab)
+    want = []
+    for t in texts:
+        w = [-1, -1, *(vocab.get(x, 0) for x in mlm.words_of(t)), -1, -1]
+        want += [((w[i - 2], w[i - 1], w[i + 1], w[i + 2]), w[i]) for i in range(2, len(w) - 2)]
+    assert n == len(want) and sorted(met) == sorted(want) and not np.array_equal(net["w"], mlm.fresh()["w"])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
