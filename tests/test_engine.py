@@ -178,3 +178,11 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 38
+
+
+def test_nearest_takes_queries_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0 + i % 3]) for i in range(60)], "id long, v array<float>")
+    q = v.where("id % 4 = 0")
+    few, many = text.nearest(v, q, "id", "v", 5), text.nearest(v, q, "id", "v", 5, block=4)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 15 * 5
+    assert "CartesianProduct" in many._jdf.queryExecution().toString()
