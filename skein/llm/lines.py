@@ -2,21 +2,24 @@
 
 A line is a part of a text between line feeds; one without a word is never touched. A line goes if it equals an
 earlier one and has `exact` characters or more, or if its edit distance (insert, delete, substitute a character) to an
-earlier one is at most `edits` and both have `least` characters or more; earlier means by (doc_id, place in the text)
-of the first line of the same form. The operator and the pipeline take copies of any length (exact = 1).
-
-1. Lines are aggregated to distinct forms, so copies are never paired.
-2. Every form of length l is split into edits + 1 even segments; of two forms within the distance the longer has one
-   of the shorter's segments, at few possible places (multi-match-aware selection). Hashes of (length, segment number,
-   segment) are joined with those of the substrings at these places, for the lengths that are possible.
-3. An edit changes the counts of ten common letters by two at most in sum; the join keeps only pairs that agree so
-   far. The letters' counts are in one long, compared within the join's own code.
-4. What is left is verified by a banded bit-parallel edit distance: after the common ends are cut, a word holds the
-   2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
-
-Edge cases: null or empty texts have no lines; lines of equal (doc_id, place) are ordered arbitrarily but only one of
-them stays; null doc_ids come first; if all lines of a document go, its text is empty. Other columns are kept, whatever
-their names; only columns n_copies and n_near of the input give way to the operator's in dedup().
+earlier one is at most `edits` and both have `least` characters or more; earlier means by (doc_id, hash of the text,
+place in the text) of the first line of the same form. The operator and the pipeline take copies of any length
+(exact = 1).
+
+1. Every line gets, where it stands, the hashes that it may be found by, so that its text need not be moved: of two
+   lines within the distance the longer has one of the shorter's edits + 1 even segments, at few possible places
+   (multi-match-aware selection). A hash is of (length, segment number, segment).
+2. Lines are aggregated to distinct forms, by hashes of 128 bits, so copies are never paired. The hashes of the forms'
+   own segments are joined with each other and with those of the substrings at all other places.
+3. An edit changes the counts of six letters by two at most in sum; the join keeps only pairs that agree so far. The
+   letters' counts are in one long, compared within the join's own code.
+4. What is left is verified on the lines themselves by a banded bit-parallel edit distance: after the common ends are
+   cut, a word holds the 2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
+
+Edge cases: null or empty texts have no lines; null doc_ids come first, and are told apart by their texts, as rows that
+share a doc_id are; rows equal in doc_id and text have the same lines at the same places and lose the same ones; if all
+lines of a document go, its text is empty. Other columns are kept, whatever their names; only columns n_copies and
+n_near of the input give way to the operator's in dedup().
 """
 
 from __future__ import annotations
@@ -24,47 +27,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import drop_saved, saved, table
 
-LETTERS = "etanisrhlo"
+LETTERS = "lduscm"  # neither rare nor so common that counting them takes long
+FEW = 1 << 20  # hashes of lines that are broadcast at most
 
 
-def places(own: Column, edits: int, less: int | None) -> Column:
-    """(at, size, tag) of the segments of a form of length `own`, or, if `less` is given, of the substrings at which a
-    form that is `less` longer may hold them. Segments are even; the last ones take what is left over.
+def segments(edits: int) -> dict[str, Column]:
+    """Columns of the number (n), place (p) and size (z) of segment i of a line that is `less` shorter than l, for all less and i.
+
+    Segments are even; the last ones take what is left over. Plain columns, so that the code of keys() stays small.
     """
-    n = edits + 1
-    over = (own % n).cast("int")
-    base, at, out = ((own - over) / n).cast("int"), F.lit(1), []
-    for i in range(n):
-        size = base + (over >= n - i).cast("int")
-        shifts = [0] if less is None else range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
-        out += [F.struct((at + shift).alias("at"), size.alias("size"), (own * n + i).alias("tag")) for shift in shifts]
-        at = at + size
-    return F.when(own > edits, F.array(*out)).otherwise(F.array().cast("array<struct<at:int,size:int,tag:int>>"))
+    out, n = {}, edits + 1
+    for less in range(edits + 1):
+        own = F.col("l") - less
+        base, over = F.floor(own / n).cast("int"), F.coalesce(own % n, F.lit(0))
+        for i in range(n):
+            more = F.greatest(over - (n - i), F.lit(0)) if i > 1 else F.lit(0)
+            out |= {f"n{less}{i}": own * n + i, f"p{less}{i}": F.coalesce(base * i + more + 1, F.lit(1)), f"z{less}{i}": F.coalesce(base + (over >= n - i).cast("int"), F.lit(0))}
+    return out
 
 
-def keys(wide: Column, found: Column) -> Column:
-    """Hashes of parts of a string in UTF-32, in which a character is found without walking through the string."""
-    return F.transform(found, lambda x: F.xxhash64(x["tag"], F.substring(wide, x["at"] * 4 - 3, x["size"] * 4)))
+def keys(edits: int) -> list[Column]:
+    """Hashes of a line's own segments, and then of the substrings at which it may hold those of lines shorter by 0 to edits."""
+    key = lambda less, i, shift: F.xxhash64(F.col(f"n{less}{i}"), F.substring("line", F.col(f"p{less}{i}") + shift, F.col(f"z{less}{i}")))
+    own, other = [key(0, i, 0) for i in range(edits + 1)], []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            shifts = range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+            other += [key(less, i, shift) for shift in shifts if less or shift]
+    return own + other
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the letters modulo 16, four bits each, in a long; the length modulo 256 in its highest byte."""
-    out = F.shiftleft((length % 256).cast("bigint"), 56)
+    """Counts of the letters modulo 64, a byte each, in a long; the length modulo 256 in its highest byte."""
+    out, size = F.shiftleft((length % 256).cast("bigint"), 56), F.octet_length(line)
     for k, c in enumerate(LETTERS):
-        n = ((length - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("bigint")
-        out = out.bitwiseOR(F.shiftleft(n, 4 * k))
+        n = ((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("bigint")
+        out = out.bitwiseOR(F.shiftleft(n, 8 * k))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Never more than what the counts differ by in sum: each is compared around the circle of 16."""
-    part = lambda x, k: F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15))
+    """Never more than what the counts differ by in sum: each is compared around the circle of 64."""
+    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(63))
     out = F.lit(0).cast("bigint")
     for k in range(len(LETTERS)):
         d = F.abs(part(a, k) - part(b, k))
-        out = out + F.least(d, 16 - d)
+        out = out + F.least(d, 64 - d)
     return out
 
 
@@ -125,57 +135,64 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, at, line of the lines that may go."""
-    long = (F.char_length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(long)
+    """doc_id, th (a hash of the text), at, line, h0, h1 (hashes of the line) of the lines that may go."""
+    parts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    long = F.col("line").rlike(r"[^\x20\x09-\x0D]") & ((F.char_length("line") >= least) if least > 1 else F.lit(True))
+    return parts.where(long).select("*", F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1"))
 
 
-def forms_of(lines: DataFrame) -> DataFrame:
-    """id, place, line: every distinct line, its 64-bit hash, and where it is first.
-
-    The hash alone is the key, so that joins on it need no other exchange; lines that share one are kept apart by the
-    set. The condition keeps the place in every use, so that one exchange serves them all.
-    """
-    g = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min(F.struct("doc_id", "at")).alias("place"), F.collect_set("line").alias("lines"))
-    return g.where(F.col("place").isNotNull()).select("id", "place", F.explode("lines").alias("line"))
+def forms_of(lines: DataFrame, edits: int) -> DataFrame:
+    """h0, h1, c, keys: every distinct line by its hashes, with its letters' counts, and its own keys before the others."""
+    sized = lines.select("h0", "h1", "line", F.char_length("line").alias("l")).select("h0", "h1", "line", "l", *(c.alias(k) for k, c in segments(edits).items()))
+    made = sized.select("h0", "h1", letter_counts(F.col("line"), F.col("l")).alias("c"), F.array(*keys(edits)).alias("keys"))
+    return made.groupBy("h0", "h1").agg(F.first("c").alias("c"), F.first("keys").alias("keys"))
 
 
-def edit_join(forms: DataFrame, edits: int) -> DataFrame:
-    """a, b, a_place, b_place: the distinct lines (id, place, line) that are within `edits` edits of each other, each pair once."""
-    own = forms.select("id", "line", F.encode("line", "UTF-32").alias("w"))
-    own = own.withColumn("l", (F.octet_length("w") / 4).cast("int")).withColumn("c", letter_counts(F.col("line"), F.col("l")))
-    index = own.select("id", "c", "w", places(F.col("l"), edits, None).alias("at")).select("id", "c", F.explode(keys(F.col("w"), F.col("at"))).alias("key"))
-    spots = F.concat(*(places(F.col("l") - less, edits, less) for less in range(edits + 1)))
-    probe = own.select("id", "c", "w", spots.alias("at")).select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(keys(F.col("w"), F.col("at"))).alias("key2"))
+def candidates(forms: DataFrame, edits: int) -> DataFrame:
+    """a, b: hashes h0 of forms that share a key and nearly agree in their letters, each pair once; written to the shared folder."""
+    one = forms.select("h0", "c", F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
+    same = one.select(F.col("h0").alias("g0"), F.col("c").alias("c2"), F.col("key").alias("key2"))
+    more = forms.select(F.col("h0").alias("g0"), F.col("c").alias("c2"), F.explode(F.slice("keys", edits + 2, 1 << 20)).alias("key2"))
     longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
-    able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("id") < F.col("id2")))
-    pairs = index.join(probe.hint("merge"), (F.col("key") == F.col("key2")) & able).select("id", "id2").distinct()
-    text = lambda h, x: forms.select(F.col("id").alias(h), F.col("line").alias(x), F.col("place").alias(f"{x}_place"))
-    full = pairs.join(text("h1", "a").hint("merge"), F.col("id") == F.col("h1")).join(text("h2", "b").hint("merge"), F.col("id2") == F.col("h2"))
-    return saved(within(full.select("a", "b", "a_place", "b_place").where("a <> b"), "a", "b", edits), "line-links")
+    able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("h0") < F.col("g0")))
+    meet = lambda x, y: x.join(y.hint("merge"), (F.col("key") == F.col("key2")) & able).select(F.col("h0").alias("a"), F.col("g0").alias("b"))
+    return saved(meet(one, same).unionByName(meet(one, more)).distinct(), "line-pairs")
+
+
+def edit_join(lines: DataFrame, edits: int) -> DataFrame:
+    """The distinct lines (of lines_of()) that are within `edits` edits of each other, each pair once: a and b, each a
+    struct of h0, h1, place and line. Written to the shared folder.
+    """
+    pairs = candidates(forms_of(lines, edits), edits)
+    ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+    met = lines.join(ids, F.col("h0") == F.col("id"), "left_semi")
+    texts = saved(met.groupBy("h0", "h1", "line").agg(F.min(F.struct("doc_id", "th", "at")).alias("place")), "line-texts")
+    of = lambda x: texts.select(F.col("h0").alias(f"{x}0"), F.struct("h0", "h1", "place", "line").alias(f"{x}_form"))
+    full = pairs.join(of("a"), F.col("a") == F.col("a0")).join(of("b"), F.col("b") == F.col("b0"))
+    full = full.select(F.col("a_form").alias("a"), F.col("b_form").alias("b"), F.col("a_form.line").alias("x"), F.col("b_form.line").alias("y"))
+    links = saved(within(full.where("x <> y"), "x", "y", edits).select("a", "b"), "line-links")
+    drop_saved(pairs, texts)
+    return links
 
 
 def later_forms(links: DataFrame) -> DataFrame:
-    """line, links, goes: the forms with links, how many, and whether one of them leads to an earlier form."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_place").alias("a_place"), F.col("a_place").alias("b_place")))
-    j = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("links"), F.min("b_place").alias("first"), F.first("a_place").alias("own"))
-    return j.select("line", "links", (F.col("first") < F.col("own")).alias("goes"))
+    """g0, g1, links, goes: the forms with links, how many, and whether one of them leads to an earlier form."""
+    side = lambda x, y: links.select(F.col(f"{x}.h0").alias("g0"), F.col(f"{x}.h1").alias("g1"), F.col(f"{x}.place").alias("own"), F.col(f"{y}.place").alias("met"))
+    return side("a", "b").unionByName(side("b", "a")).groupBy("g0", "g1").agg(F.count("*").alias("links"), (F.min("met") < F.min("own")).alias("goes"))
 
 
 def spent(docs: DataFrame, edits: int, least: int, exact: int) -> DataFrame:
-    """doc_id, at, near of the lines that go."""
-    lines = lines_of(docs, exact)
-    forms = forms_of(lines_of(docs, least))
-    near = later_forms(edit_join(forms, edits))
-    h = lambda x: (F.xxhash64(x), F.xxhash64(F.lit(1), x))
-    goes = near.where("goes").select(*(c.alias(f"g{k}") for k, c in enumerate(h("line"))))
-    # By hashes of 128 bits from here on: lines need not be moved again.
-    marked = lines.select("doc_id", "at", *(c.alias(f"h{k}") for k, c in enumerate(h("line"))))
-    first = marked.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "at")).alias("place"), F.count("*").alias("n"))
+    """doc_id, th, at, near of the lines that go."""
+    if least < 2 * edits + 1:
+        raise ValueError("segments of shorter lines would be empty")
+    near = later_forms(edit_join(lines_of(docs, least), edits)).where("goes").select("g0", "g1")
+    marked = lines_of(docs, exact).select("doc_id", "th", "at", "h0", "h1")
+    first = marked.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "th", "at")).alias("place"), F.count("*").alias("n"))
     again = first.where("n > 1").select(F.col("h0").alias("f0"), F.col("h1").alias("f1"), "place")
-    x = marked.join(again, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1")), "left").join(goes, (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
-    copy = F.coalesce(F.struct("doc_id", "at") != F.col("place"), F.lit(False))
-    return x.where(copy | F.col("g0").isNotNull()).select("doc_id", "at", F.col("g0").isNotNull().alias("near"))
+    x = marked.join(again, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1")), "left").join(near, (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
+    copy = F.coalesce(F.struct("doc_id", "th", "at") != F.col("place"), F.lit(False))
+    return x.where(copy | F.col("g0").isNotNull()).select("doc_id", "th", "at", F.col("g0").isNotNull().alias("near"))
 
 
 def cut(docs: DataFrame, edits: int = 2, least: int = 20, exact: int | None = None) -> DataFrame:
@@ -183,9 +200,9 @@ def cut(docs: DataFrame, edits: int = 2, least: int = 20, exact: int | None = No
 
     exact: the least length of a line that goes as a copy; that of near copies if not given.
     """
-    gone = spent(docs, edits, least, least if exact is None else exact).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "near"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
-    j = d.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
+    gone = spent(docs, edits, least, least if exact is None else exact).groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.array_sort(F.collect_set(F.struct("at", "near"))).alias("gone"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text").withColumn("th", F.xxhash64("text"))
+    j = d.join(gone, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
     parts, places = F.split("text", "\n"), F.col("gone.at")
     left = F.filter(parts, lambda x, i: ~F.array_contains(places, i))
     count = lambda near: F.coalesce(F.size(F.filter("gone", lambda g: g["near"] == near)), F.lit(0)).cast("bigint")

@@ -121,10 +121,48 @@ def test_edit_join_by_brute_force(spark):
         return "".join(s)
 
     base = ["".join(R.choice("abcé ") for _ in range(R.randint(4, 40))) for _ in range(40)]
-    pool = sorted({x for b in base for x in (b, *(changed(b, R.randint(0, 4)) for _ in range(4))) if len(x) > 2})
-    forms = lines.forms_of(spark.createDataFrame([(i, 0, x) for i, x in enumerate(pool)], "doc_id long, at int, line string"))
-    got = {tuple(sorted((r["a"], r["b"]))) for r in lines.edit_join(forms, 2).collect()}
-    assert got == {(a, b) for a, b in itertools.combinations(pool, 2) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    pool = sorted({x for b in base for x in (b, *(changed(b, R.randint(0, 4)) for _ in range(4))) if len(x) > 4})
+    d = lines.lines_of(spark.createDataFrame([(i, x) for i, x in enumerate([*pool, *pool[:9]])], "doc_id long, text string"), 5)
+    got = [tuple(sorted((r["a"]["line"], r["b"]["line"]))) for r in lines.edit_join(d, 2).collect()]
+    kept = [x for x in pool if x.strip()]
+    assert sorted(got) == [(a, b) for a, b in itertools.combinations(kept, 2) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    with pytest.raises(ValueError):
+        lines.dedup(d, least=4)
+
+
+def test_line_dedup_query_by_brute_force(spark, tmp_path):
+    """Repeated and null doc_ids, rows equal in all, hot lines, ties, long lines, lines of other scripts."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("lduscm eé日") for _ in range(rng.choice([3, 19, 20, 21, 60, 700]))) for _ in range(25)]
+
+    def line():
+        x = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
+            i = rng.randrange(len(x) + 1)
+            x[i : i + rng.randint(0, 1)] = rng.choice(["", "q", "é"])
+        return "".join(x)
+
+    rows = [(rng.choice([None, 3, 3, i]), rng.choice([None, "", "a hot line that stands in many texts"]) if i % 7 == 0 else "\n".join(line() for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows += [(3, rows[5][1]), (3, rows[5][1])]
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    th = {r[0]: r[1] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    first: dict = {}
+    each = [((i is not None, i or 0, th[t], k), x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip()]
+    for at, x in each:
+        first[x] = min(first.get(x, at), at)
+    near = {x for x in first if len(x) >= 20 and any(len(y) >= 20 and abs(len(x) - len(y)) <= 2 and first[y] < first[x] and x != y and distance(x, y) <= 2 for y in first)}
+    want = []
+    for i, t in rows:
+        kept, n = [], [0, 0]
+        for k, x in enumerate((t or "").split("\n")):
+            at = (i is not None, i or 0, th[t], k)
+            if x in first and (x in near or at != first[x]):
+                n[x in near] += 1
+            else:
+                kept.append(x)
+        left = "\n".join(kept)
+        want.append((i, *n, left.count("\n") + 1, hashlib.sha256(left.encode()).hexdigest()))
+    assert near and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in lines.op6_line_dedup(spark, str(tmp_path)).collect())
 
 
 def test_line_dedup_rows(spark, none):
