@@ -2,8 +2,9 @@
 
 Pieces of the split pattern that a worker has not met go, by length, into padded matrices of token ids. Each round
 every row merges its leftmost pair of least rank; the ranks of pairs come from an open-addressing hash table. Rows
-without a pair to merge leave the matrix (compaction). Pieces over ``LONG`` bytes take the same merge rule with a
-heap over a linked list, since a padded row costs the square of its length.
+without a pair to merge leave the matrix (compaction). A piece over ``LONG`` bytes is a matrix of one row, in which a
+round merges all places of the least pair, from left to right, where that can't differ from merging one at a time:
+where no pair that this makes, even for a while, has a lower rank.
 
 Edge cases: a null or empty text has no ids; equal texts get equal ids; a piece that is itself a token is that token.
 """
@@ -12,18 +13,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, splitter, table
 
-LONG = 1024
+LONG = 1024  # bytes of a row that shares its matrix
 NONE = np.int32(2**31 - 1)
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, LONG)
 
@@ -36,12 +35,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class BytePairs:
     """Encoder and decoder for one rank table. `held` bounds the pieces that a worker remembers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 300_000):
-        self.ranks, self.pattern, self.held = ranks, regex.compile(pattern), held
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 400_000):
+        self.ranks, self.pattern, self.held = ranks, splitter(pattern), held
         self.tokens = {r: t for t, r in ranks.items()}
         self.names = {r: str(r) for r in self.tokens}
         self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}  # what was remembered before: of the pieces met, the last held / 2 and as many before
         found = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
         self._build(left << 32 | right, merged)
@@ -111,37 +111,39 @@ class BytePairs:
         return out
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
-        """The same merges by a heap, for one long piece."""
-        ids = self.base[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        tokens, ranks = self.tokens, self.ranks
-        pair = lambda a, b: ranks.get(tokens[a] + tokens[b])
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (x := pair(r, ids[k])) is not None:
-                    heapq.heappush(heap, (x, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (x := pair(ids[h], r)) is not None:
-                heapq.heappush(heap, (x, h, ids[h], r))
-        return tuple(x for x in ids if x >= 0)
+        """Token ids of one long piece."""
+        ids = self.base[np.frombuffer(piece, np.uint8)]
+        rank = self.pair_ranks(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:  # of a run of overlapping places every other one counts
+                run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+                at = at[(at - np.repeat(at[run], np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            beyond = np.minimum(at + 2, len(ids) - 1)  # what follows each place before and after the next is merged
+            then = np.where(at + 2 < len(ids), ids[beyond], -1)
+            after = np.where(np.r_[at[1:] == at[:-1] + 2, False], best, then)
+            before = np.where(np.r_[False, at[1:] == at[:-1] + 2], best, np.where(at > 0, ids[np.maximum(at - 1, 0)], -1))
+            made = np.full(len(at), best, np.int32)
+            left, right = self.pair_ranks(before, made), self.pair_ranks(made, after)
+            if min(left.min(), right.min(), self.pair_ranks(made, then).min()) < best:
+                at, left = at[:1], left[:1]
+                right = self.pair_ranks(made[:1], then[:1])
+            ids[at], rank[at] = best, NONE
+            rank[at[at > 0] - 1] = left[at > 0]
+            inner = at + 1 < len(rank)
+            rank[at[inner] + 1] = right[inner]
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+        return tuple(ids.tolist())
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not remembered."""
-        if len(self.seen) + len(pieces) > self.held:
-            self.seen = {}
+        if len(self.seen) > self.held // 2:
+            self.old, self.seen = self.seen, {}
+        pieces = pieces.difference(self.seen)
+        again = pieces.intersection(self.old)
+        self.seen.update(zip(again, map(self.old.__getitem__, again)))
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            if p in self.seen:
-                continue
+        for p in pieces - again:
             b = p.encode()
             if (whole := self.ranks.get(b)) is not None:
                 self.seen[p] = (whole,)

@@ -44,6 +44,19 @@ def drop_saved(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A split pattern, and one that finds the same pieces faster: no piece of letters or digits begins as a contraction does.
+SAME = {
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+}
+
+
+def splitter(pattern: str):
+    """The compiled split pattern of a tokenizer."""
+    import regex
+
+    return regex.compile(SAME.get(pattern, pattern))
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges [a, b) whose sizes add up to about `most`; a single larger item stands alone."""
     a = total = 0

@@ -7,7 +7,7 @@ A segment holds the ids of whole documents in ascending doc_id order. Its bytes
     frames   zstandard
 
 so one block, or one plane of a block, can be read without the rest. The files are Parquet with a segment a row
-(shard, seg, n_ids, doc_ids, n_tokens, payload): Spark's committer writes them whole on any store, and a lost task is
+(shard, seg, first, n_ids, doc_ids, n_tokens, payload; first counts the shard's ids before): Spark's committer writes them whole on any store, and a lost task is
 written again. Readers get the position of any document from the columns without touching the payloads.
 
 Edge cases: a null or empty text has only the end id; null doc_ids come first; documents of equal doc_id follow each
@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table
+from .common import scratch, slices, splitter, table
 
 HEADER = struct.Struct("<4sHHIQ")
 FRAME = np.dtype([("offset", "<u8"), ("length", "<u4")])
 MAGIC = b"IDPL"
-SHARDS = "shard int, seg int, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
+SHARDS = "shard int, seg int, first bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
 
 def pack(ids: np.ndarray, block: int = 65_536, planes: int = 4, level: int = 1) -> bytes:
@@ -83,30 +83,36 @@ class PieceIds:
     """Ids of texts by the tokenizers library, asked once for each distinct piece that a worker remembers.
 
     The library's byte-level models split a text by the pattern before any merge, so a piece has the same ids alone
-    as in its text. Models with a normalizer, or a split other than the pattern, are refused. With `added`, as the
-    library does by default, texts are first cut at the model's added tokens, which have their own ids; without it,
-    what special tokens look like is encoded as any text.
+    as in its text; many pieces are asked at once, a line each, of a model that splits at line ends only. Models with a
+    normalizer, or a split other than the pattern, are refused. As the library does by default, texts are first cut at
+    the model's added tokens, which have their own ids. Of the pieces met, those of the last `held` / 2 and of the
+    `held` / 2 before are remembered.
     """
 
-    def __init__(self, data: bytes, pattern: str, held: int = 400_000, added: bool = False):
+    def __init__(self, data: bytes, pattern: str, held: int = 600_000):
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         made = json.loads(data)
         before = made.get("pre_tokenizer") or {}
         if made.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
             raise ValueError("only byte-level models that split by the pattern can be asked piece by piece")
-        self.model = Tokenizer.from_str(data.decode())
-        self.model.encode_special_tokens = True
-        (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
-        tokens = made.get("added_tokens", []) if added else []
+        tokens = made.get("added_tokens", [])
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or "\n" in t["content"] for t in tokens):
             raise ValueError("only added tokens that stand for themselves can be cut out")
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.pattern, self.held, self.seen = regex.compile(pattern), held, dict(self.added)
+        self.model = Tokenizer.from_str(data.decode())
+        self.model.encode_special_tokens = True  # added tokens have been cut out before
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), whole])
+        self.model.model._resize_cache(0)  # every piece is asked once
+        (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
+        self.alone = Tokenizer.from_str(data.decode())
+        self.alone.encode_special_tokens, self.alone.pre_tokenizer = True, whole
+        self.pattern, self.half, self.seen, self.old = splitter(pattern), held // 2, dict(self.added), {}
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text, added tokens among them."""
@@ -118,17 +124,18 @@ class PieceIds:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.pieces(t) for t in texts]
+        if len(self.seen) > self.half:
+            self.old, self.seen = self.seen, dict(self.added)
         new = set().union(*split).difference(self.seen)
-        if len(new) + len(self.seen) > self.held:
-            self.seen = dict(self.added)
-            new = set().union(*split).difference(self.seen)
-        # Pieces without white space at the end are asked together, a line each: the pattern splits at every line's end.
-        lone = [p for p in new if p[-1].isspace()]
-        for p, got in zip(lone, self.model.encode_batch_fast(lone, add_special_tokens=False)):
+        again = new.intersection(self.old)
+        self.seen.update(zip(again, map(self.old.__getitem__, again)))
+        new -= again
+        lone = [p for p in new if "\n" in p]
+        for p, got in zip(lone, self.alone.encode_batch_fast(lone, add_special_tokens=False)):
             self.seen[p] = np.array(got.ids, "<u4").tobytes()
-        lines = [p for p in new if not p[-1].isspace()]
-        for a in range(0, len(lines), 2_000):
-            part = lines[a : a + 2_000]
+        lines = [p for p in new if "\n" not in p]
+        for a in range(0, len(lines), 500):
+            part = lines[a : a + 500]
             ids = np.array(self.model.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.line) * 4
             if len(ends) != len(part):
@@ -139,16 +146,16 @@ class PieceIds:
         return [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in split]
 
 
-_made: dict[tuple[bytes, bool], PieceIds] = {}
+_made: dict[bytes, PieceIds] = {}
 
 
-def _model(data: bytes, pattern: str, added: bool = False) -> PieceIds:
+def _model(data: bytes, pattern: str) -> PieceIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-    key = hashlib.sha256(data).digest(), added
+    key = hashlib.sha256(data).digest()
     if key not in _made:
-        _made[key] = PieceIds(data, pattern, added=added)
+        _made[key] = PieceIds(data, pattern)
     return _made[key]
 
 
@@ -166,7 +173,7 @@ def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard, seg = _model(sent.value, pattern, added=True).encode_batch, TaskContext.get().partitionId(), 0
+        encode, shard, seg, first = _model(sent.value, pattern).encode_batch, TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in texts], 1_000_000):
@@ -177,14 +184,15 @@ def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segm
                         [
                             pa.array([shard], pa.int32()),
                             pa.array([seg], pa.int32()),
+                            pa.array([first], pa.int64()),
                             pa.array([len(ids)], pa.int64()),
                             pa.array([doc_ids.slice(a + c, d - c).to_pylist()], pa.list_(pa.int64())),
                             pa.array([[len(x) for x in part[c:d]]], pa.list_(pa.int64())),
                             pa.array([pack(ids, block, planes)], pa.binary()),
                         ],
-                        names=["shard", "seg", "n_ids", "doc_ids", "n_tokens", "payload"],
+                        names=["shard", "seg", "first", "n_ids", "doc_ids", "n_tokens", "payload"],
                     )
-                    seg += 1
+                    seg, first = seg + 1, first + len(ids)
 
     ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").mapInArrow(run, SHARDS).write.option("compression", "none").parquet(out)
@@ -193,28 +201,25 @@ def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segm
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files.
 
-    A first pass over the columns alone counts the ids of each segment; the driver turns the counts by shard (a row
-    for each file written) into offsets, which the reading tasks add.
+    A first pass over the columns alone counts the ids of each shard; the driver turns these counts, one for each file
+    written, into offsets, which the reading tasks add.
     """
     files = spark.read.schema(SHARDS).parquet(path)
-    starts, at = {}, 0
-    for r in sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.sort_array(F.collect_list(F.struct("seg", "n_ids"))).alias("segs")).collect()):
-        here = at
-        for s in r["segs"]:
-            starts[r["shard"], s["seg"]] = here
-            here += s["n_ids"]
-        at += r["n"]
-    sent = spark.sparkContext.broadcast(starts)
+    counts = sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
+    starts = np.zeros((counts[-1]["shard"] if counts else 0) + 2, np.int64)
+    for r in counts:
+        starts[r["shard"] + 1] = r["n"]
+    sent = spark.sparkContext.broadcast(np.cumsum(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, seg, _, doc_ids, n, payload = (batch.column(i)[row].as_py() for i in range(6))
+                shard, _, first, _, doc_ids, n, payload = (batch.column(i)[row].as_py() for i in range(7))
                 ids = unpack(payload).astype("<u4", copy=False)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[e - k : e]) for e, k in zip(ends.tolist(), n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(ends - n + sent.value[shard, seg], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(ends - n + sent.value[shard] + first, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -56,7 +56,6 @@ def test_planes_round_trip_and_files(spark, docs, none, tmp_path):
         ids = np.random.default_rng(n).integers(0, 50_257, n).astype(np.uint32)
         assert (planes.unpack(planes.pack(ids, planes=p)) == ids).all() and (planes.unpack(planes.pack(ids, planes=p), 3, 66_000) == ids[3:66_000]).all()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     model = planes._model(open(P.path("byte_bpe_50k.json"), "rb").read(), P.PATTERN)
     assert [x.tolist() for x in model.encode_batch(ODD)] == [x.ids for x in t.encode_batch(ODD, add_special_tokens=False)]
     planes.write(docs.where("doc_id is not null"), str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), P.PATTERN, 2)
