@@ -11,8 +11,13 @@ Equal vectors are one class, of which the 21 smallest ids are kept: a query retu
 them, so no more can ever be needed. Classes and distinct queries are dealt to blocks by a hash; every block of
 vectors meets every block of queries, and each pair returns its best classes only.
 
-Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; fewer candidates than asked for are all returned; equal scores go to the smaller vec_id.
+`share` is there for vectors without any structure, as random ones in many dimensions, whose nearest are hardly nearer
+than others: a smaller one verifies less and finds less. Neither it nor a block's size leaves a vector out of the index.
+
+Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; a query's candidates are
+the vectors of its own length; rows that share a vec_id and a vector count once, those of one vec_id with other vectors
+are other candidates, but never of a query of that vec_id; fewer candidates than asked for are all returned; equal
+scores go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ class SortedProjections:
         self.rank = np.empty(order.shape, np.uint16)
         np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
 
-    def search(self, queries: np.ndarray, k: int, alpha: float = 0.56, share: float = 0.16, least: int = 60, step: float = 1.12):
+    def search(self, queries: np.ndarray, k: int, alpha: float = 0.56, share: float = 0.25, least: int = 100, step: float = 1.12):
         """For each query, the places and scores of the vectors found: at least min(k, all) of them."""
         n, m = len(self.x), len(self.a[0])
         at = (np.c_[queries * (self.longest / np.sqrt((queries * queries).sum(axis=1)))[:, None], np.zeros(len(queries))] @ self.a).T
@@ -72,22 +77,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16_384, query_block: int = 4_096, m: int = 128) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 65_536, query_block: int = 16_384, tasks: int = 12, m: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found; both tables have vec_id and embedding."""
     ok = lambda x: x.isNotNull() & (x != float("inf")) & (x != float("-inf")) & ~F.isnan(x)
     e = F.col("embedding").cast("array<double>")
     clean = lambda d: d.select(F.col("vec_id").cast("bigint").alias("vec_id"), e.alias("e")).where(F.forall("e", ok) & F.exists("e", lambda x: x != 0) & F.col("vec_id").isNotNull())
     v = clean(vectors)
-    usual = v.groupBy(F.size("e").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims = usual["dims"] if usual else 0
-    h = lambda d: d.where(F.size("e") == dims).withColumn("h0", F.xxhash64("e")).withColumn("h1", F.xxhash64(F.lit(1), "e"))
+    h = lambda d: d.withColumn("h0", F.xxhash64("e")).withColumn("h1", F.xxhash64(F.lit(1), "e"))
     kept = Window.partitionBy("h0", "h1").orderBy("vec_id")
-    named = saved(h(v).withColumn("at", F.row_number().over(kept)).where(F.col("at") <= k + 1), "vectors")
+    named = saved(h(v).dropDuplicates(["vec_id", "h0", "h1"]).withColumn("at", F.row_number().over(kept)).where(F.col("at") <= k + 1), "vectors")
     q = saved(h(clean(queries)).select("vec_id", "h0", "h1", "e"), "queries")
     asked = q.dropDuplicates(["h0", "h1"])
     top = named.agg(F.sum((F.col("at") == 1).cast("int")).alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    n_blocks, n_parts, longest = max(1, -(-(top["n"] or 0) // block)), max(1, -(-asked.count() // query_block)), top["longest"] or 0.0
-    spread = lambda d, n, other, many: d.withColumn(n, F.pmod("h0", F.lit(many[0]))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
+    n, longest = top["n"] or 0, top["longest"] or 0.0
+    n_blocks = max(1, -(-n // block), min(tasks // 3, n // 4_096))
+    n_parts = max(1, -(-asked.count() // query_block), -(-tasks // n_blocks))
+    spread = lambda d, n, other, many: d.withColumn("dims", F.size("e")).withColumn(n, F.pmod("h0", F.lit(many[0]))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
     left = spread(named.where("at = 1").select("vec_id", "e", "h0"), "b", "p", (n_blocks, n_parts)).withColumn("p", F.col("p").cast("bigint"))
     right = spread(asked.select("h0", "h1", "e"), "p", "b", (n_parts, n_blocks)).withColumn("b", F.col("b").cast("bigint"))
 
@@ -106,7 +111,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16_
                 h1 += [b] * len(take)
         return pa.table([pa.array(h0, pa.int64()), pa.array(h1, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["h0", "h1", "rep", "score"])
 
-    near = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(best, "h0 bigint, h1 bigint, rep bigint, score double")
+    near = left.groupBy("dims", "b", "p").cogroup(right.groupBy("dims", "b", "p")).applyInArrow(best, "h0 bigint, h1 bigint, rep bigint, score double")
     first = Window.partitionBy("h0", "h1").orderBy(F.desc("score"), "rep")
     near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("h0", "h1", "rep", "score")
     of = named.select("vec_id", F.min("vec_id").over(Window.partitionBy("h0", "h1")).alias("rep2"))
