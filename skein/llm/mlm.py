@@ -2,18 +2,22 @@
 
 The vocabulary holds the commonest words of the corpus, counted over all documents, in groups of 64: 64 groups, and more
 with the root of the number of distinct words (words as common as the first that has no place are left out with it).
-Every other word is the class 0, and is spelled: each byte is predicted from the three before it by interpolated counts
-(Witten-Bell) over all such words of the corpus, less what that gives to words of the vocabulary. A network embeds the
-two words before and the two after the masked place (beyond a text's ends: a padding word), one tanh layer reads them,
-and a two-level softmax (groups of words, 64 words in a group) gives the probability of the masked word or class. A
-document's score is the sum of the log-probabilities of all its words.
-
-Training masks every place of every document once. Each partition trains from the same seeded start on its own places,
-a slice of texts at a time, and the networks are averaged, weighted by their places (sums by part of the network and
-salt, so that no task meets all networks). What is counted and trained on grows with the corpus.
+Every other word is the class 0, a group of its own, and is spelled: each byte is predicted from the two before it by
+interpolated counts (Witten-Bell) over all such words of the corpus, less what that gives to words of the vocabulary. A
+network embeds the two words before and the two after the masked place (beyond a text's ends: a padding word), one tanh
+layer reads them, and a two-level softmax (groups of words, 64 words in a group) gives the probability of the masked
+word or class. A document's score is the sum of the log-probabilities of all its words.
+
+Training masks every place of every document once. The output biases start at the logarithms of the words' shares of
+the corpus, so that training begins at what counts alone predict. Documents are dealt to units by a hash of what they
+hold, as many units as the corpus's words ask for, whatever its partitions; in each of three rounds, over growing shares
+of the units, every unit trains from the last round's network on its own places, in the order of the hash, and the
+networks are averaged, weighted by their places (sums by part of the network and salt, so that no task meets all
+networks). What is counted and trained on grows with the corpus.
 
 Edge cases: null or empty texts have no words, log_likelihood 0 and a null mean; equal texts get equal scores; an
-empty corpus has no vocabulary, and all bytes are alike.
+empty corpus has no vocabulary, and all bytes are alike; a text of any length is read a million characters at a time or
+whole; rows equal in doc_id and text fall to one unit; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +38,12 @@ GROUPS, IN_GROUP, SIDE, DIM, HIDDEN = 64, 64, 2, 8, 16
 SIZE, PAD = GROUPS * IN_GROUP, -1  # the last row of e
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 4096
-BYTES, BEFORE, HELD = 257, 3, 300_000  # 256 stands before a word and at its end
+BYTES, BEFORE, HELD = 257, 2, 600_000  # 256 stands before a word and at its end
+ROUNDS = (0, 1, 4, 16)  # sixteenths of the documents that each round ends at
 
 
 def shapes(groups: int) -> dict[str, tuple[int, ...]]:
-    return {"e": (groups * IN_GROUP + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "gw": (HIDDEN, groups), "gb": (groups,), "iw": (groups, HIDDEN, IN_GROUP), "ib": (groups, IN_GROUP)}
+    return {"e": (groups * IN_GROUP + 2, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "gw": (HIDDEN, groups + 1), "gb": (groups + 1,), "iw": (groups, HIDDEN, IN_GROUP), "ib": (groups, IN_GROUP)}
 
 
 def groups_for(distinct: int, least: int = GROUPS) -> int:
@@ -49,9 +55,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def fresh(seed: int = 5, groups: int = GROUPS) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k in ("b", "gb", "ib") else rng.normal(0, 0.1 if k == "e" else 0.3, s)).astype(np.float32) for k, s in shapes(groups).items()}
+def fresh(vocab: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
+    """A network that predicts what the counts of the words do."""
+    rng, net = np.random.default_rng(seed), {}
+    for k, s in shapes(vocab.groups).items():
+        net[k] = (np.zeros(s) if k in ("b", "gw", "gb", "iw", "ib") else rng.normal(0, 0.5 if k == "e" else 0.3, s)).astype(np.float32)
+    share = np.full(vocab.groups * IN_GROUP, 1e-3)
+    share[: len(vocab.counts)] = vocab.counts
+    share = share.reshape(-1, IN_GROUP)
+    net["gb"][:] = np.log(np.r_[vocab.other + 0.5, share.sum(axis=1)] / (vocab.other + 0.5 + share.sum()))
+    net["ib"][:] = np.log(share / share.sum(axis=1, keepdims=True))
+    return net
 
 
 def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -65,73 +79,80 @@ def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def hidden(net: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["e"][ctx].reshape(len(ctx), -1)
+    x = net["e"].take(ctx, axis=0, mode="wrap").reshape(len(ctx), -1)
     return x, np.tanh(x @ net["w"] + net["b"])
 
 
+def by_group(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each id, an order by group, and where each group ends in it."""
+    group = ((ids + IN_GROUP - 1) // IN_GROUP).astype(np.uint16)
+    return group, np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=groups + 1))
+
+
 def log_probs(net: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each id from its context."""
     _, h = hidden(net, ctx)
-    group, inner = ids // IN_GROUP, ids % IN_GROUP
-    out = _log_softmax(h @ net["gw"] + net["gb"])[np.arange(len(ids)), group]
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(len(net["gb"]) + 1))
-    for g in range(len(net["gb"])):
-        rows = order[edge[g] : edge[g + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ net["iw"][g] + net["ib"][g])[np.arange(len(rows)), inner[rows]]
-    return out
+    groups = len(net["ib"])
+    group, order, end = by_group(ids, groups)
+    out = _softmax(h @ net["gw"] + net["gb"])[np.arange(len(ids)), group]
+    hs, inner, near = h[order], (ids[order] - 1) % IN_GROUP, np.ones(len(ids), np.float32)
+    for g in np.flatnonzero(np.diff(end)).tolist():
+        a, b = end[g], end[g + 1]
+        near[a:b] = _softmax(hs[a:b] @ net["iw"][g] + net["ib"][g])[np.arange(b - a), inner[a:b]]
+    out[order] *= near
+    return np.log(np.maximum(out, 1e-37))
 
 
 def squares(net: dict) -> dict[str, np.ndarray]:
-    return {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.items()}
+    return {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
 
 
-def train(net: dict, ctx: np.ndarray, ids: np.ndarray, epochs: int = 2, batch: int = 4096, rate: float = 0.15, seen: dict | None = None) -> None:
-    """Adagrad on the masked places, in place; seen holds the squares of what came before, from squares()."""
+def train(net: dict, ctx: np.ndarray, ids: np.ndarray, rate: float = 0.15, seen: dict | None = None) -> None:
+    """Adagrad on the masked places, once each, in place; seen holds the squares of what came before, from squares()."""
     seen = squares(net) if seen is None else seen
-
-    def move(k, grad, at=...):
-        seen[k][at] += grad * grad
-        net[k][at] -= rate * grad / np.sqrt(seen[k][at])
-
-    order = np.random.default_rng(len(ids)).permutation(len(ids))
-    for _ in range(epochs):
-        for a in range(0, len(order), batch):
-            at = order[a : a + batch]
-            c, y = ctx[at], ids[at]
-            x, h = hidden(net, c)
-            group, inner, n = y // IN_GROUP, y % IN_GROUP, len(y)
-            d = np.exp(_log_softmax(h @ net["gw"] + net["gb"]))
-            d[np.arange(n), group] -= 1
-            d /= n
-            back = d @ net["gw"].T
-            gw, gb = h.T @ d, d.sum(axis=0)
-            by = np.argsort(group, kind="stable")
-            edge = np.searchsorted(group[by], np.arange(len(net["gb"]) + 1))
-            for g in np.flatnonzero(np.diff(edge)).tolist():
-                rows = by[edge[g] : edge[g + 1]]
-                p = np.exp(_log_softmax(h[rows] @ net["iw"][g] + net["ib"][g]))
-                p[np.arange(len(rows)), inner[rows]] -= 1
-                p /= n
-                back[rows] += p @ net["iw"][g].T
-                move("iw", h[rows].T @ p, g)
-                move("ib", p.sum(axis=0), g)
-            move("gw", gw)
-            move("gb", gb)
-            z = back * (1 - h * h)
-            into = (z @ net["w"].T).reshape(-1, DIM)
-            move("w", x.T @ z)
-            move("b", z.sum(axis=0))
-            used, place = np.unique(c.reshape(-1), return_inverse=True)
-            e = np.stack([np.bincount(place, into[:, j], len(used)) for j in range(DIM)], axis=1).astype(np.float32)
-            move("e", e, used)
+    groups = len(net["ib"])
+    batch = 128 * groups
+
+    def move(k, grad):
+        seen[k] += grad * grad
+        net[k] -= rate * grad / np.sqrt(seen[k])
+
+    mixed = np.random.default_rng(len(ids)).permutation(len(ids))
+    for a in range(0, len(mixed), batch):
+        at = mixed[a : a + batch]
+        c, y, n = ctx[at], ids[at], np.float32(len(at))
+        x, h = hidden(net, c)
+        group, order, end = by_group(y, groups)
+        d = _softmax(h @ net["gw"] + net["gb"])
+        d[np.arange(len(at)), group] -= 1
+        d /= n
+        back = d @ net["gw"].T
+        iw, ib = np.zeros_like(net["iw"]), np.zeros_like(net["ib"])
+        hs, inner, deep = h[order], (y[order] - 1) % IN_GROUP, np.zeros_like(h)
+        for g in np.flatnonzero(np.diff(end)).tolist():
+            i, j = end[g], end[g + 1]
+            p = _softmax(hs[i:j] @ net["iw"][g] + net["ib"][g])
+            p[np.arange(j - i), inner[i:j]] -= 1
+            p /= n
+            np.matmul(p, net["iw"][g].T, out=deep[i:j])
+            np.matmul(hs[i:j].T, p, out=iw[g])
+            p.sum(axis=0, out=ib[g])
+        back[order] += deep
+        z = back * (1 - h * h)
+        into, size = z @ net["w"].T, len(net["e"])
+        flat = np.where(c < 0, size - 1, c).ravel()
+        e = np.stack([np.bincount(flat, into[:, k::DIM].ravel(), size) for k in range(DIM)], axis=1).astype(np.float32)
+        for k, grad in (("iw", iw), ("ib", ib), ("gw", h.T @ d), ("gb", d.sum(axis=0)), ("w", x.T @ z), ("b", z.sum(axis=0)), ("e", e)):
+            move(k, grad)
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +178,9 @@ class Spelling:
             n = np.bincount(place, counts, len(key))
             before, start = np.unique(key // BYTES, return_index=True)
             self.levels.append((key, n, before, np.add.reduceat(n, start), np.diff([*start, len(key)])))
+        self.known = np.zeros(0, np.int64)
+        if self.levels:
+            self.known, self.logs = self.levels[-1][0], np.log(self.of_keys(self.levels[-1][0]))
 
     def of_keys(self, keys: np.ndarray) -> np.ndarray:
         p = np.full(len(keys), 1 / BYTES)
@@ -172,7 +196,13 @@ class Spelling:
         if not words:
             return np.zeros(0)
         keys, size = spelled(words)
-        return np.add.reduceat(np.log(self.of_keys(keys)), np.cumsum(size) - size) - self.rest
+        logs = np.empty(len(keys))
+        at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
+        met = self.known[at] == keys if len(self.known) else np.zeros(len(keys), bool)
+        if met.any():
+            logs[met] = self.logs[at[met]]
+        logs[~met] = np.log(self.of_keys(keys[~met]))
+        return np.add.reduceat(logs, np.cumsum(size) - size) - self.rest
 
     def leave_out(self, words: list[bytes]) -> None:
         """What these words have goes to all others."""
@@ -180,14 +210,14 @@ class Spelling:
 
 
 class Vocabulary(dict):
-    """Ids of words, from 1, for a network of so many groups, and the spelling of all other words."""
+    """Ids of words, from 1, for a network of so many groups; the words' counts, those of all others, and their spelling."""
 
-    def __init__(self, words: list[bytes], groups: int, spelling: Spelling):
+    def __init__(self, words: list[bytes], groups: int, spelling: Spelling, counts: list[int] = (), other: int = 0):
         super().__init__((w, k) for k, w in enumerate(words, 1))
-        self.groups, self.spelling = groups, spelling
+        self.groups, self.spelling, self.counts, self.other = groups, spelling, list(counts), other
 
     def __reduce__(self):
-        return Vocabulary, (list(self), self.groups, self.spelling)
+        return Vocabulary, (list(self), self.groups, self.spelling, self.counts, self.other)
 
 
 def _ids(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[int], list[bytes]]:
@@ -196,13 +226,14 @@ def _ids(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray,
     counts = [len(w) for w in words]
     flat = [w for part in words for w in part]
     get = vocab.get
-    ids = np.fromiter((get(w, 0) for w in flat), np.int32, len(flat))
+    ids = np.fromiter(map(get, flat, repeat(0)), np.int32, len(flat))
     return ids, np.repeat(np.arange(len(texts)), counts), counts, flat
 
 
 def vocabulary(docs: DataFrame, size: int = SIZE) -> Vocabulary:
-    """The commonest words, `size` - 1 of them or more in a large corpus, and the spelling of the others; counts cover
-    all documents. The driver gets the words, how many words there are of each count, and the counts of four bytes.
+    """The commonest words, `size` of them or more in a large corpus, and the spelling of the others; counts cover all
+    documents. The driver gets the words, how many words there are of each count, and the counts of three bytes in a row,
+    of which there are 257 ** 3 at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,41 +260,55 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> Vocabulary:
     groups, taken, least = groups_for(sum(words for _, words in by_count), size // IN_GROUP), 0, math.inf
     for n, words in by_count:
         taken += words
-        if taken >= groups * IN_GROUP:
+        if taken > groups * IN_GROUP:
             break
         least = n
     common = F.col("n") >= F.lit(least)
-    words = [bytes(r["word"]) for r in sorted(counted.where(common).collect(), key=lambda r: (-r["n"], r["word"]))]
+    rows = sorted(counted.where(common).collect(), key=lambda r: (-r["n"], r["word"]))
+    words, counts = [bytes(r["word"]) for r in rows], [r["n"] for r in rows]
     rest = counted.where(~common).mapInArrow(spell, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     drop_saved(counted)
     spelling = Spelling(rest.column("key").to_numpy(), rest.column("n").to_numpy())
     spelling.leave_out(words)
-    return Vocabulary(words, groups, spelling)
+    return Vocabulary(words, groups, spelling, counts, sum(n * words for n, words in by_count) - sum(counts))
 
 
-def learn(lists: Iterator[list[str | None]], vocab: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
-    """A network that met every place of the texts once, and the number of places."""
-    net, n = fresh(groups=vocab.groups), 0
-    seen = squares(net)
+def learn(lists: Iterator[list[str | None]], vocab: Vocabulary, net: dict[str, np.ndarray]) -> int:
+    """Trains net on every place of the texts once; the number of places."""
+    n, seen = 0, squares(net)
     for texts in lists:
         for a, b in slices([len(t or "") for t in texts], 1_000_000):
             ids, doc, _, _ = _ids(texts[a:b], vocab)
-            train(net, contexts(ids, doc), ids, epochs=1, seen=seen)
+            train(net, contexts(ids, doc), ids, seen=seen)
             n += len(ids)
-    return net, n
+    return n
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, unit_words: int = 4_000_000, most_units: int = 8192, salts: int = 64) -> dict[str, np.ndarray]:
+    """The network after all rounds."""
+    at = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    marked = docs.where("text is not null").select("text", at.alias("at"))
+    net, total = fresh(vocab), vocab.other + sum(vocab.counts)
+    for first, last in zip(ROUNDS, ROUNDS[1:]):
+        units = min(most_units, max(1, round(total * (last - first) / ROUNDS[-1] / unit_words)))
+        part = F.pmod("at", F.lit(ROUNDS[-1]))
+        mine = marked.where((part >= first) & (part < last)).repartition(units, F.xxhash64("at")).sortWithinPartitions("at").select("text")
+        net = one_round(mine, vocab, net, salts)
+    return net
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, salts: int = 64) -> dict[str, np.ndarray]:
-    """The averaged network."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+def one_round(docs: DataFrame, vocab: Vocabulary, net: dict[str, np.ndarray], salts: int) -> dict[str, np.ndarray]:
+    """The average of the networks that the partitions of docs (text) make of net."""
+    sent, names = docs.sparkSession.sparkContext.broadcast((vocab, net)), list(shapes(vocab.groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        net, n = learn((batch.column(0).to_pylist() for batch in batches), sent.value)
+        part, (vocab, start) = TaskContext.get().partitionId(), sent.value
+        own = {k: v.copy() for k, v in start.items()}
+        n = learn((batch.column(0).to_pylist() for batch in batches), vocab, own)
         if n:
-            flat = np.concatenate([net[k].reshape(-1) for k in shapes(sent.value.groups)]).astype(np.float64) * n
+            flat = np.concatenate([own[k].reshape(-1) for k in names]).astype(np.float64) * n
             for k, a in enumerate(range(0, len(flat), CHUNK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[a : a + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "n", "data"])
 
@@ -273,11 +318,10 @@ def fit(docs: DataFrame, vocab: Vocabulary, salts: int = 64) -> dict[str, np.nda
         return pa.table([t.column("chunk")[:1], pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([sum(t.column("n").to_pylist())], pa.int64()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "part", "n", "data"])
 
     schema = "chunk int, part int, n bigint, data binary"
-    nets = docs.where("text is not null").select("text").mapInArrow(run, schema)
-    some = nets.withColumn("part", F.col("part") % salts).groupBy("chunk", "part").applyInArrow(total, schema)
+    some = docs.mapInArrow(run, schema).withColumn("part", F.col("part") % salts).groupBy("chunk", "part").applyInArrow(total, schema)
     rows = sorted(some.groupBy("chunk").applyInArrow(total, schema).collect(), key=lambda r: r["chunk"])  # one network
     if not rows:
-        return fresh(groups=vocab.groups)
+        return net
     flat, out, a = np.concatenate([np.frombuffer(r["data"], np.float64) / r["n"] for r in rows]), {}, 0
     for k, s in shapes(vocab.groups).items():
         out[k] = flat[a : a + int(np.prod(s))].reshape(s).astype(np.float32)
@@ -290,21 +334,23 @@ def score(docs: DataFrame, vocab: Vocabulary, net: dict[str, np.ndarray]) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocab, net), seen = sent.value, {}
+        (vocab, net), seen, old = sent.value, {}, {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 500_000):
+            for a, b in slices([len(t or "") for t in texts], 1_000_000):
                 ids, doc, counts, flat = _ids(texts[a:b], vocab)
                 got = np.zeros(len(ids))
                 c = contexts(ids, doc)
-                for k in range(0, len(ids), 16_384):
-                    got[k : k + 16_384] = log_probs(net, c[k : k + 16_384], ids[k : k + 16_384])
+                for k in range(0, len(ids), 8_192):
+                    got[k : k + 8_192] = log_probs(net, c[k : k + 8_192], ids[k : k + 8_192])
                 other = np.flatnonzero(ids == 0)
                 words = [flat[i] for i in other.tolist()]
+                if len(seen) > HELD // 2:
+                    old, seen = seen, {}
                 new = set(words).difference(seen)
-                if len(seen) + len(new) > HELD:
-                    seen, new = {}, set(words)
-                new = list(new)
+                again = new.intersection(old)
+                seen.update(zip(again, map(old.__getitem__, again)))
+                new = list(new - again)
                 seen.update(zip(new, vocab.spelling.log_probs(new).tolist()))
                 got[other] += np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
                 total = np.bincount(doc, got, b - a) if len(ids) else np.zeros(b - a)
