@@ -20,6 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,8 @@ class PieceIds:
     The library's byte-level models split a text by the pattern before any merge, so a piece has the same ids alone
     as in its text; many pieces are asked at once, a line each, of a model that splits at line ends only. Models with a
     normalizer, or a split other than the pattern, are refused. As the library does by default, texts are first cut at
-    the model's added tokens, which have their own ids. Of the pieces met, those of the last `held` / 2 and of the
-    `held` / 2 before are remembered.
+    the model's added tokens, which have their own ids. A piece has a number, by which its ids are found in one array;
+    all are forgotten when there are more than `held`.
     """
 
     def __init__(self, data: bytes, pattern: str, held: int = 600_000):
@@ -102,7 +103,7 @@ class PieceIds:
         tokens = made.get("added_tokens", [])
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or "\n" in t["content"] for t in tokens):
             raise ValueError("only added tokens that stand for themselves can be cut out")
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+        self.added = {t["content"]: t["id"] for t in tokens}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.model = Tokenizer.from_str(data.decode())
         self.model.encode_special_tokens = True  # added tokens have been cut out before
@@ -112,7 +113,8 @@ class PieceIds:
         (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
         self.alone = Tokenizer.from_str(data.decode())
         self.alone.encode_special_tokens, self.alone.pre_tokenizer = True, whole
-        self.pattern, self.half, self.seen, self.old = splitter(pattern), held // 2, dict(self.added), {}
+        self.pattern, self.held = splitter(pattern), held
+        self.forget()
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text, added tokens among them."""
@@ -121,29 +123,56 @@ class PieceIds:
         parts = self.cut.split(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pattern.findall(part))]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.seen) > self.half:
-            self.old, self.seen = self.seen, dict(self.added)
-        new = set().union(*split).difference(self.seen)
-        again = new.intersection(self.old)
-        self.seen.update(zip(again, map(self.old.__getitem__, again)))
-        new -= again
-        lone = [p for p in new if "\n" in p]
-        for p, got in zip(lone, self.alone.encode_batch_fast(lone, add_special_tokens=False)):
-            self.seen[p] = np.array(got.ids, "<u4").tobytes()
-        lines = [p for p in new if "\n" not in p]
-        for a in range(0, len(lines), 500):
-            part = lines[a : a + 500]
+    def forget(self) -> None:
+        self.seen = _Numbers((t, k) for k, t in enumerate(self.added))
+        self.ids, self.ends = np.array(list(self.added.values()), "<u4"), np.arange(len(self.added) + 1)
+
+    def ask(self, new: list[str]) -> None:
+        """Append the ids of new pieces, in the order of their numbers."""
+        got: list = [None] * len(new)
+        lone = [k for k, p in enumerate(new) if "\n" in p]
+        for k, x in zip(lone, self.alone.encode_batch_fast([new[k] for k in lone], add_special_tokens=False)):
+            got[k] = np.array(x.ids, "<u4")
+        rest, parts, sizes = [p for p in new if "\n" not in p], [], []
+        for a in range(0, len(rest), 500):
+            part = rest[a : a + 500]
             ids = np.array(self.model.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line) * 4
+            ends = np.flatnonzero(ids == self.line)
             if len(ends) != len(part):
                 raise ValueError("the model does not split at line ends")
-            data, ends = ids.tobytes(), ends.tolist()
-            self.seen.update(zip(part, (data[c:d] for c, d in zip([0, *(e + 4 for e in ends)], ends))))
-        of = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in split]
+            parts.append(ids[ids != self.line])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        size = np.zeros(len(new), np.int64)
+        size[lone] = [len(got[k]) for k in lone]
+        in_line = np.ones(len(new), bool)
+        in_line[lone] = False
+        size[in_line] = np.concatenate([np.zeros(0, np.int64), *sizes])
+        flat, of_line = np.empty(int(size.sum()), "<u4"), np.repeat(in_line, size)
+        flat[of_line] = np.concatenate([np.zeros(0, "<u4"), *parts])
+        flat[~of_line] = np.concatenate([np.zeros(0, "<u4"), *(got[k] for k in lone)])
+        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.seen) > self.held:
+            self.forget()
+        split = [self.pieces(t) for t in texts]
+        count, before, of = np.array([len(p) for p in split], np.int64), len(self.seen), self.seen.__getitem__
+        number = np.fromiter(map(of, chain.from_iterable(split)), np.int64, int(count.sum()))
+        self.ask(list(islice(self.seen, before, None)))
+        first = self.ends[number]
+        size = self.ends[number + 1] - first
+        last = np.cumsum(size)
+        flat = self.ids[np.arange(int(size.sum())) + np.repeat(first - last + size, size)]
+        return np.split(flat, np.r_[0, last][np.cumsum(count)[:-1]]) if len(texts) else []
+
+
+class _Numbers(dict):
+    """Numbers of pieces, in the order in which they were first met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = len(self)
+        return k
 
 
 _made: dict[bytes, PieceIds] = {}
