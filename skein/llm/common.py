@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that no plan needs any more: Spark does so once the driver's collectors find them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_saved(*frames: DataFrame) -> None:
     """Delete the files of DataFrames made by saved(), once nothing is to be read from them any more."""
     for df in frames:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved, table
+from .common import drop_saved, release, saved, table
 
 LETTERS = "lduscm"  # neither rare nor so common that counting them takes long
 FEW = 1 << 20  # hashes of lines that are broadcast at most
@@ -121,17 +121,35 @@ def sum_bits(first: Column, last: int) -> Column:
     return out
 
 
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Of 2 * edits + 3 segments of a, all but `edits` stand in b, moved by `edits` places at most: true of all within `edits`."""
+    n, found = 2 * edits + 3, F.lit(0)
+    for i in range(n):
+        at, end = F.floor(F.char_length(a) * i / n).cast("int"), F.floor(F.char_length(a) * (i + 1) / n).cast("int")
+        around = F.substring(b, F.greatest(at - edits, F.lit(0)) + 1, end - at + 2 * edits)
+        found = found + F.contains(around, F.substring(a, at + 1, end - at)).cast("int")
+    return found >= n - edits
+
+
+def same_inside(a: Column, b: Column, edits: int) -> Column:
+    """True of strings without common ends that are within two edits: these stand at the ends, so all between is the same."""
+    if edits > 2:
+        return F.lit(True)
+    inside = F.substring(a, F.lit(2), F.greatest(F.char_length(a) - 2, F.lit(0)))
+    return F.startswith(b, inside) | F.startswith(F.substring(b, F.lit(2), F.lit(1 << 30)), inside) | F.startswith(F.substring(b, F.lit(3), F.lit(1 << 30)), inside)
+
+
 def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """The rows of pairs whose strings a and b are within `edits` edits of each other."""
-    p = pairs.withColumn("_p", same_start(F.col(a), F.col(b)))
+    p = saved(pairs.where(alike(F.col(a), F.col(b), edits)), "line-alike").withColumn("_p", same_start(F.col(a), F.col(b)))
     cut = lambda x: F.reverse(F.col(x).substr(F.col("_p") + 1, F.char_length(x)))
     p = p.withColumn("_a", cut(a)).withColumn("_b", cut(b)).withColumn("_q", same_start(F.col("_a"), F.col("_b")))
-    chars = lambda x: F.split(F.col(x).substr(F.col("_q") + 1, F.char_length(x)), "")
-    short = lambda x: F.filter(chars(x), lambda c: c != "")
-    p = p.withColumn("_a", short("_a")).withColumn("_b", short("_b"))
-    p = saved(p, "line-trimmed")  # a filter on these columns would otherwise be pushed below them and repeat them
-    near = F.abs(F.size("_a") - F.size("_b")) <= edits
-    return p.where(near).where(edit_distance(F.col("_a"), F.col("_b"), edits) <= edits).drop("_p", "_q", "_a", "_b")
+    rest = lambda x: F.col(x).substr(F.col("_q") + 1, F.char_length(x))
+    p = saved(p.withColumn("_a", rest("_a")).withColumn("_b", rest("_b")).drop("_p", "_q"), "line-trimmed")  # else filters would be pushed below these columns and repeat them
+    chars = lambda x: F.filter(F.split(F.col(x), ""), lambda c: c != "")
+    near = (F.abs(F.char_length("_a") - F.char_length("_b")) <= edits) & same_inside(F.col("_a"), F.col("_b"), edits)
+    few = p.where(near).select(*pairs.columns, chars("_a").alias("_a"), chars("_b").alias("_b"))
+    return few.where(edit_distance(F.col("_a"), F.col("_b"), edits) <= edits).select(*pairs.columns)
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -156,14 +174,17 @@ def candidates(forms: DataFrame, edits: int) -> DataFrame:
     longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
     able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("h0") < F.col("g0")))
     meet = lambda x, y: x.join(y.hint("merge"), (F.col("key") == F.col("key2")) & able).select(F.col("h0").alias("a"), F.col("g0").alias("b"))
-    return saved(meet(one, same).unionByName(meet(one, more)).distinct(), "line-pairs")
+    pairs = saved(meet(one, same).unionByName(meet(one, more)).distinct(), "line-pairs")
+    del forms, one, same, more
+    release(pairs.sparkSession)
+    return pairs
 
 
 def edit_join(lines: DataFrame, edits: int) -> DataFrame:
     """The distinct lines (of lines_of()) that are within `edits` edits of each other, each pair once: a and b, each a
     struct of h0, h1, place and line. Written to the shared folder.
     """
-    pairs = candidates(forms_of(lines, edits), edits)
+    pairs = candidates(forms_of(lines, edits), edits)  # by now all keys are spent
     ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
     ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
     met = lines.join(ids, F.col("h0") == F.col("id"), "left_semi")
