@@ -1,14 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions only.
 
 Each source is cut by a seeded hash into at most `blocks` blocks, put in a seeded order. A target of k whole sources
-and a rest takes every block k times and then, in that order, blocks up to the rest; the last block is cut at a
-document, by the documents' own seeded order. The numbers of blocks that the sources give (their quotas) are then
+and a rest takes every block k times and then, in that order, the blocks that fit in the rest; of the first that doesn't
+documents are taken in their own seeded order as long as they fit in what is left, going on to smaller ones. The numbers of blocks that the sources give (their quotas) are then
 split between the two halves of the output shards, again and again, each split a draw without replacement from all
 blocks at the node, so that every shard gets a multivariate-hypergeometric mix and no block goes to two shards. Within
-a shard documents are shuffled by a seeded hash.
+a shard documents are shuffled by a seeded hash: their places in it are the order of mix_place.
 
 Only sums by block and by source are ever gathered by a key: a source that holds a third of all rows has as many
-blocks as any other of its size, and no window runs over documents but in the one block that is cut.
+blocks as any other of its size, and no window runs over documents but in the one block that is cut, over sizes alone.
+What is taken of that block is told by ranges of the seeded order, so the texts meet a table of blocks only.
 
 Edge cases: a null text has size 0; the null source is a source, ordered last; rows of equal doc_id
 stand in the same block, ordered by their texts' hashes; a source of size
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import drop_saved, saved, table
 
-WORD = r"[^\x20\x09-\x0D]+"
+FEW = 1 << 20  # blocks that are broadcast at most
 
 
 def n_words(text: str) -> F.Column:
@@ -115,11 +116,17 @@ def block_draws(d: DataFrame, weights: tuple[float, ...], share: float, most: fl
     goals = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goals = goals.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    # The order of a source's blocks, and how much of each the last, partial pass takes.
-    order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "_block"), "_block")
+    # In their seeded order blocks go to the last, partial pass as long as they fit in the rest; the first that doesn't is cut to what is left.
     b = by_block.select(F.col("source").alias("s"), "_block", "words").join(goals, F.col("s").eqNullSafe(F.col("source")))
-    b = b.withColumn("rank", F.row_number().over(order)).withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("s")))
-    b = b.withColumn("need", F.col("rest") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = F.struct(F.xxhash64(F.lit(seed + 1), "s", "_block").alias("at"), "_block", "words")
+    g = b.groupBy("s", "source_size", "target", "whole", "rest").agg(F.sort_array(F.collect_list(order)).alias("x"))
+    fits = lambda a, y: F.when(y["words"] <= a["left"], y["words"].cast("double")).otherwise(F.lit(0.0))
+    start = F.struct(F.col("rest").cast("double").alias("left"), F.array().cast("array<double>").alias("needs"))
+    g = g.withColumn("f", F.aggregate("x", start, lambda a, y: F.struct((a["left"] - fits(a, y)).alias("left"), F.concat(a["needs"], F.array(fits(a, y))).alias("needs"))))
+    g = g.withColumn("cut", F.array_position(F.zip_with("x", "f.needs", lambda y, n: (n == 0) & (y["words"] > 0)), True) - 1)
+    b = g.select("s", "source_size", "target", "whole", F.posexplode(F.zip_with("x", "f.needs", lambda y, n: F.struct(y["at"].alias("at"), y["_block"].alias("_block"), y["words"].alias("words"), n.alias("n")))).alias("i", "y"), "cut", "f.left")
+    b = b.select("s", "source_size", "target", "whole", "y.at", "y._block", "y.words", F.when(F.col("i") == F.col("cut"), F.col("left")).otherwise(F.col("y.n")).alias("need"))
+    b = b.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(F.col("need") <= 0, "at", "_block"))).withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("s")))
     passes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("whole"), F.col("words").cast("double")).otherwise(F.col("need")).alias("need"), (p * F.col("n_blocks") + F.col("rank") - 1).alias("draw")))
     b = saved(b.select("s", F.col("_block").alias("b"), "words", "source_size", "target", F.filter(passes, lambda x: (F.col("source_size") > 0) & (x["need"] > 0)).alias("x")), "mix-blocks")
     draws = b.select("s", "b", F.explode("x").alias("x")).select("s", "b", "x.*")
@@ -127,18 +134,50 @@ def block_draws(d: DataFrame, weights: tuple[float, ...], share: float, most: fl
     parts = split_tree(quotas, shards, seed + 2).groupBy(F.col("source").alias("ps")).agg(F.collect_list(F.struct("shard", "first", "last")).alias("parts"))
     out = b.join(parts, F.col("s").eqNullSafe(F.col("ps")), "left")
     shard = lambda x: F.filter("parts", lambda p: (x["draw"] >= p["first"]) & (x["draw"] < p["last"]))[0]["shard"]
-    return out.select("s", "b", "words", "source_size", "target", F.transform("x", lambda x: F.struct(x["pass"].alias("pass"), x["need"].alias("need"), shard(x).alias("shard"))).alias("draws"))
+    out = out.select("s", "b", "words", "source_size", "target", F.transform("x", lambda x: F.struct(x["pass"].alias("pass"), x["need"].alias("need"), shard(x).alias("shard"))).alias("draws"))
+    cut = fitting(d, draws.join(b.select(F.col("s").alias("bs"), F.col("b").alias("bb"), "words"), F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb"))).where("need < words").select("s", "b", "need"))
+    return saved(out.join(cut, F.col("s").eqNullSafe(F.col("cs")) & (F.col("b") == F.col("cb")), "left").drop("cs", "cb"), "mix-draws")
 
 
-def taken(d: DataFrame, draws: DataFrame, *more: str) -> DataFrame:
-    """Every row of d (source, _size, _own, _block, _tie, and the columns `more`) with size, source_size, target and its copies (pass, shard)."""
-    j = d.join(draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
-    cut = F.exists("draws", lambda x: x["need"] < F.col("words"))
-    at = Window.partitionBy("s", "b").orderBy("_own", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    part = j.where(cut).withColumn("_so_far", F.coalesce(F.sum("_size").over(at), F.lit(0)))
-    both = j.where(~cut).withColumn("_so_far", F.lit(0).cast("bigint")).unionByName(part)
-    copies = F.filter("draws", lambda x: (x["need"] >= F.col("words")) | (F.col("_so_far") + F.col("_size") / 2 <= x["need"]))
-    return both.select(*more, F.col("_size").alias("size"), "source_size", "target", F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"))).alias("copies"))
+def fitting(d: DataFrame, cuts: DataFrame, levels: int = 5) -> DataFrame:
+    """cs, cb, fits: of each block that is cut (s, b, need) ranges of its documents' order and the largest size taken in them.
+
+    Documents that fit are taken as far as their sizes add up to the need; then, of those after them, such as fit in
+    what is left of it, and so on; last the first one of less than twice what is left.
+    """
+    key = F.struct("_own", "_tie")
+    left = cuts.select(F.col("s").alias("cs"), F.col("b").alias("cb"), "need")
+    rows = saved(d.join(left, F.col("source").eqNullSafe(F.col("cs")) & (F.col("_block") == F.col("cb"))).select("cs", "cb", "need", "_size", key.alias("key")), "mix-cut")
+    out, spent = None, [rows]
+    for level in range(levels + 1):
+        if level < levels:
+            fit = rows.where("_size <= need").withColumn("sum", F.sum("_size").over(Window.partitionBy("cs", "cb").orderBy("key"))).where("sum <= need")
+            got = fit.groupBy("cs", "cb").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max("need").alias("most"), F.sum("_size").alias("got"))
+        else:
+            got = rows.where("_size < 2 * need").groupBy("cs", "cb").agg(F.min("key").alias("first")).withColumn("last", F.col("first")).withColumn("most", F.lit(float("inf"))).withColumn("got", F.lit(0).cast("bigint"))
+        got = saved(got, "mix-level")
+        spent.append(got)
+        out = got if out is None else out.unionByName(got)
+        g = got.select(F.col("cs").alias("gs"), F.col("cb").alias("gb"), "last", "got")
+        on = F.col("cs").eqNullSafe(F.col("gs")) & (F.col("cb") == F.col("gb"))
+        if level < levels:
+            rows = rows.join(g, on, "left").where("last is null or key > last").select("cs", "cb", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), "_size", "key")
+    fits = saved(out.groupBy("cs", "cb").agg(F.collect_list(F.struct("first", "last", "most")).alias("fits")), "mix-fits")
+    drop_saved(*spent)
+    return fits
+
+
+def taken(d: DataFrame, draws: DataFrame, size: F.Column, *more: str, seed: int = 20240) -> DataFrame:
+    """Every row of d (source, _own, _block, _tie, and the columns `more`) with source_size, target and its copies (pass, shard,
+    place in the shard's shuffled order); size is looked at in blocks that are cut only.
+    """
+    few = F.broadcast(draws) if draws.count() <= FEW else draws.hint("merge")
+    j = d.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
+    key = F.struct("_own", "_tie")
+    fits = F.when(F.col("fits").isNotNull(), F.exists(F.transform("fits", lambda x: (key >= x["first"]) & (key <= x["last"]) & (size <= x["most"])), lambda x: x)).otherwise(F.lit(False))
+    copies = F.filter("draws", lambda x: (x["need"] >= F.col("words")) | F.col("_fits"))
+    place = lambda x: F.xxhash64(F.lit(seed + 3), x["pass"], "_own", "_tie")
+    return j.withColumn("_fits", fits).select(*more, "source_size", "target", F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), place(x).alias("place"))).alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = 512, shards: int = 8, seed: int = 20240) -> DataFrame:
@@ -146,12 +185,19 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
 
     A document stands as often as it is taken. `shards` is a power of two.
     """
-    draws = block_draws(measured(docs, blocks, seed), weights, share, most, shards, seed)
+    sizes = measured(docs, blocks, seed)
+    draws = block_draws(sizes, weights, share, most, shards, seed)
+    drop_saved(sizes)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text")
-    d = marked(whole, blocks, seed).select("row", "source", n_words("text").alias("_size"), "_own", "_block", "_tie")
-    out = taken(d, draws, "row", "_own", "_tie").select("row", "size", "_own", "_tie", F.explode("copies").alias("c"))
-    place = F.xxhash64(F.lit(seed + 3), "c.pass", "_own", "_tie")
-    return out.select("row", F.col("size").alias("mix_size"), F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), place.alias("mix_place"))
+    d = marked(whole, blocks, seed).select("row", "source", "text", "_own", "_block", "_tie")
+    out = taken(d, draws, n_words("text"), "row", "text", seed=seed).select("row", "text", F.explode("copies").alias("c"))
+    return out.select("row", n_words("text").alias("mix_size"), F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), F.col("c.place").alias("mix_place"))
+
+
+def in_order(mix: DataFrame) -> DataFrame:
+    """The rows of mixed() dealt to partitions by shard and place, and sorted so: written, they stand in the mix's order."""
+    order = ("mix_shard", "mix_place")
+    return mix.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -162,5 +208,6 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = measured(table(spark, sf_dir, "documents"))
-    out = taken(d, block_draws(d, (3.0, 1.0, 2.0), 1.5, 2.0, 8, 20240), "doc_id")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards"))
+    out = taken(d, block_draws(d, (3.0, 1.0, 2.0), 1.5, 2.0, 8, 20240), F.col("_size"), "doc_id", "_size")
+    part = lambda c: F.transform("copies", lambda x: x[c])
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("copies")).cast("bigint").alias("taken"), part("shard").alias("shards"), part("place").alias("places"))

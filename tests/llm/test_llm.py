@@ -200,6 +200,40 @@ def test_mixing_targets(spark, docs, none):
     key = lambda x: sorted((r["doc_id"], r["mix_pass"], r["mix_shard"], r["mix_place"]) for r in x)
     assert key(m) == key(mixing.mix(d.repartition(3), shards=4).collect())
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() > 0
+    order = [(r["mix_shard"], r["mix_place"]) for r in mixing.in_order(mixing.mixed(d, shards=4)).collect()]
+    assert order == sorted(order) and len(order) == len(m)
+
+
+def test_mixing_query_by_brute_force(spark, tmp_path):
+    """Targets computed anew, each source's words within a hair of its own; repeated and null doc_ids, empty and long texts."""
+    rng = random.Random(21)
+    rows = [(rng.choice([None, 7, i, i, i]), rng.choice([None, "", " \n", " ".join(["w"] * int(rng.paretovariate(0.8)) * 3)]), "en", rng.choice(["a", "a", "a", "b", "é", "c d", "", None, "z"]), 1) for i in range(900)]
+    rows += [(5000, "x " * 900, "en", "a", 1), rows[0], rows[0]]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    size = lambda t: len((t or "").split())
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    own = {n: sum(size(r[1]) for r in rows if r[3] == n) for n in names}
+    weight, goal, free = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}, {}, set(names)
+    while free:
+        rest = 1.5 * sum(own.values()) - sum(goal.values())
+        over = {n for n in free if rest * weight[n] / sum(weight[m] for m in free) > 2 * own[n]}
+        goal |= {n: 2.0 * own[n] for n in over} if over else {n: rest * weight[n] / sum(weight[m] for m in free) for n in free}
+        free -= over or free
+    got = mixing.op7_mixing(spark, str(tmp_path)).collect()
+    source = {}
+    for i, t, _, n, _ in rows:
+        source.setdefault((i, size(t), own[n]), n)
+    assert sorted(map(repr, ((r["doc_id"], r["size"]) for r in got))) == sorted(map(repr, ((r[0], size(r[1])) for r in rows)))
+    by = {}
+    for r in got:
+        n = next(x for x in names if own[x] == r["source_size"])
+        assert abs(r["target"] - goal[n]) < 1e-6 * max(1, goal[n]) and r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 2 * r["size"]
+        assert len(r["shards"]) == len(r["places"]) and r["taken"] == r["size"] * len(r["shards"])
+        by[n] = by.get(n, 0) + r["taken"]
+    assert len(set(own.values())) == len(own)
+    middle = {n: sorted(size(r[1]) for r in rows if r[3] == n and size(r[1]))[len([1 for r in rows if r[3] == n and size(r[1])]) // 2] for n in names}
+    assert all(abs(by.get(n, 0) - goal[n]) <= max(3, middle[n]) for n in names), [(n, by.get(n, 0), goal[n], own[n], middle[n]) for n in names]
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.op7_mixing(spark, str(tmp_path)).collect()))
 
 
 def test_minhash_by_brute_force(spark, docs, none):
