@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
-    return mixing.mixed(docs).select("row.*")
+    """The documents as often as the mix takes them, written by shard and in each shard's shuffled order."""
+    return mixing.in_order(mixing.mixed(docs)).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
