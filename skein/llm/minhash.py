@@ -3,7 +3,7 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased), each hashed to 64 bits; a text of fewer
 words is one shingle, one without words none. The `keep` least values are its sketch.
 
-1. Documents of equal sets are one class, by a 128-bit digest of the set; its least doc_id stands for it.
+1. Documents of equal sets are one class, by a 128-bit digest of the set; classes are numbered.
 2. Inverted lists hold the retained values: a class posts those of its `post` least values with the shortest lists.
    Two sets of similarity s share about s * post of them, so if a sharing of less than `share` of them is ruled out
    (for post = 32, s = 0.85 and share = 0.44, or s = 0.8 and share = 0.4, its chance is under 1e-6), leaving out so many of the longest lists, less
@@ -17,8 +17,9 @@ words is one shingle, one without words none. The `keep` least values are its sk
 
 Full sets are made again from the text, for the documents in undecided pairs only.
 
-Edge cases: null text or no words: n_shingles 0, linked with nothing, kept; equal texts are one class; rows of equal
-doc_id are one node; a row of null doc_id links with nothing, its component_id is null and it is kept.
+Edge cases: null text or no words: n_shingles 0, linked with nothing, its component_id is its doc_id and it is kept; equal
+texts are one class; rows of equal doc_id are one node, with the links of all their texts; a row of null doc_id links
+with nothing, its component_id is null and it is kept.
 """
 
 from __future__ import annotations
@@ -67,32 +68,37 @@ def shingle_set(text: str | None, width: int, words: _Words) -> np.ndarray:
 
 
 def _per_text(docs: DataFrame, schema: str, row) -> DataFrame:
-    """(doc_id, text) through row(set of shingles) -> values, in slices of Arrow batches."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    """(doc_id, th, text) through row(text) -> values, in slices of Arrow batches."""
+    names = ["doc_id", "th", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 2_000_000):
                 if len(words) > HELD:
                     words.clear()
                 cols = zip(*(row(t, words) for t in texts[a:b]))
                 arrays = [pa.array(c, t) for c, t in zip(cols, row.types)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *arrays], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id bigint, th bigint, {schema}")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text), text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def sketches(docs: DataFrame, width: int = 5, keep: int = 64) -> DataFrame:
-    """doc_id, n_shingles, digest and sketch of every document."""
+    """doc_id, th, n_shingles, digest and sketch of every document."""
 
     def row(text, words):
         s = shingle_set(text, width, words)
         return len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:keep].tolist()
 
     row.types = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return _per_text(docs, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>", row)
+    return _per_text(marked(docs), "n_shingles bigint, digest binary, sketch array<bigint>", row)
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -100,7 +106,7 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
         return (shingle_set(text, width, words).tolist(),)
 
     row.types = (pa.list_(pa.int64()),)
-    return _per_text(docs, "doc_id bigint, shingles array<bigint>", row)
+    return _per_text(docs, "shingles array<bigint>", row)
 
 
 def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> DataFrame:
@@ -115,10 +121,11 @@ def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> D
     return both.where(shared >= F.lit(least) * F.size(union)).select("a", "b")
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and shingles of the documents in ids (doc_id), written to the shared folder."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return saved(full_sets(d.join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id (here the number of a class) and shingles of the classes in ids (doc_id), written to the shared folder."""
+    wanted = classes.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "rep.*").withColumnsRenamed({"doc_id": "class", "id": "wid", "th": "wth"})
+    d = marked(docs).join(wanted.hint("merge"), (F.col("doc_id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select(F.col("class").alias("doc_id"), "th", "text").dropDuplicates(["doc_id"])
+    return saved(full_sets(d, width).drop("th"), "sets")
 
 
 def decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,22 +162,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = saved(sketches(docs, width, keep), "sketches")
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = saved(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    posted = saved(_posted(reps, post, share), "posted")
+    # From here to the end doc_id is the number of a class; rep has a document of it, the least one.
+    rep = F.min(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("n_shingles").alias("n_shingles"), F.col("sketch").alias("sketch"))).alias("rep")
+    classes = saved(named.groupBy("digest").agg(rep).select(F.monotonically_increasing_id().alias("doc_id"), "digest", F.struct("rep.id", "rep.th").alias("rep"), "rep.n_shingles", "rep.sketch"), "classes")
+    posted = saved(_posted(classes, post, share), "posted")
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     middle = posted.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n")).alias("p")).select(F.col("value").alias("pv"), (-F.col("p.id")).alias("a"), F.col("p.n").alias("an"))
     first = posted.join(middle, (F.col("value") == F.col("pv")) & (F.col("doc_id") != F.col("a")) & near("n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
-    likely = saved(estimated(first, signed, percent, keep), "likely")
-    sets = sets_of(ends(likely), docs, width)
-    links = saved(decide(likely, sets, percent), "links")
+    likely = saved(estimated(first, classes, percent, keep), "likely")
+    sets = sets_of(ends(likely), classes, docs, width)
+    links = saved(decide(likely, sets, percent).unionByName(same_document(named, classes)), "links")
     drop_saved(sets, likely)
     group = components(links)
     # Classes of a list that are in different components still have to meet.
     x = posted.join(group, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(F.col("value").alias("mv"))
     x = saved(x.join(apart, F.col("value") == F.col("mv"), "left_semi").select("doc_id", "c").distinct(), "apart")
-    sets = sets_of(x.select("doc_id"), docs, width)
+    sets = sets_of(x.select("doc_id"), classes, docs, width)
     x = saved(prefixes(sets, percent).join(x.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).drop("id"), "prefixes")
     y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("at").alias("bat"))
     smaller = (F.col("n") < F.col("bn")) | ((F.col("n") == F.col("bn")) & (F.col("doc_id") < F.col("b")))
@@ -180,12 +188,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     drop_saved(sets, x, posted)
     if not more.isEmpty():
         group = components(links.unionByName(more))
-    named_group = classes.join(group, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named_group.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
+    grouped = classes.select("doc_id", "digest", "rep.id").join(group, F.col("doc_id") == F.col("node"), "left").select("digest", "id", F.coalesce("component", "doc_id").alias("c"))
+    least = grouped.groupBy(F.col("c").alias("lc")).agg(F.min("id").alias("component_id"))
+    by_digest = grouped.join(least, F.col("c") == F.col("lc")).select(F.col("digest").alias("d"), "component_id")
+    out = signed.select("doc_id", "n_shingles", "digest").join(by_digest, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: for every doc_id with several sets the class of one and that of each other."""
+    h = F.xxhash64("digest")
+    several = named.groupBy(F.col("doc_id").alias("sid")).agg(F.min(h).alias("h0"), F.max(h).alias("h1")).where("h0 <> h1").select("sid")
+    of = named.join(several, F.col("doc_id") == F.col("sid"), "left_semi").select(F.col("doc_id").alias("sid"), F.col("digest").alias("d"))
+    each = saved(of.join(classes.select("doc_id", "digest"), F.col("d") == F.col("digest")).select("sid", "doc_id"), "same-id")
+    return each.join(each.groupBy(F.col("sid").alias("mid")).agg(F.min("doc_id").alias("a")), F.col("sid") == F.col("mid")).select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+
+
 def _posted(reps: DataFrame, post: int, share: float) -> DataFrame:
     """value, doc_id, n, weight: the retained values that each class posts, from lists of two or more.
 

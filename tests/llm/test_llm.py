@@ -260,6 +260,16 @@ def test_minhash_by_brute_force(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_links_all_texts_of_an_id(spark):
+    rng = random.Random(17)
+    a, b, c = ([f"w{rng.randrange(10_000)}" for _ in range(120)] for _ in range(3))
+    near = lambda w: " ".join([*w[:60], "other", *w[61:]])
+    rows = [(9, near(a)), (2, near(b)), (5, " ".join(a)), (5, " ".join(b)), (5, None), (7, " ".join(c)), (7, " ".join(c)), (None, " ".join(a)), (3, "x y"), (4, "X  y")]
+    got = sorted(map(repr, map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    want = [(9, 116, 2, False), (2, 116, 2, True), (5, 116, 2, False), (5, 116, 2, False), (5, 0, 5, True), (7, 116, 7, True), (7, 116, 7, True), (None, 116, None, True), (3, 1, 3, True), (4, 1, 3, False)]
+    assert got == sorted(map(repr, want))
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 91), (90, 90)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(e).collect()}
