@@ -70,9 +70,10 @@ def lookup(ledger: DataFrame, digest: str) -> DataFrame:
     return ledger.where(F.col("sha256") == F.lower(F.lit(digest)))
 
 
-def certificate_rows(evidence: DataFrame, root: str, legal_basis: str) -> DataFrame:
-    """One record for each exported item; the legal basis is data, not a claim."""
-    return evidence.select("evidence_id", "sha256", F.lit(root).alias("merkle_root"), F.lit(legal_basis).alias("legal_basis"))
+def certificate_rows(evidence: DataFrame, legal_basis: str) -> DataFrame:
+    """One record for each exported item (evidence_id, sha256) with the Merkle root of them all; the legal basis is data, not a claim."""
+    root = merkle_root(evidence, "evidence_id", "sha256").select(F.col("root").alias("merkle_root"), F.col("n").alias("n_items"))
+    return evidence.select("evidence_id", "sha256").join(F.broadcast(root)).withColumn("legal_basis", F.lit(legal_basis))  # one row
 
 
 def audit_stats(df: DataFrame, officer: str, action: str) -> DataFrame:

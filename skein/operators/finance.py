@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
+
 
 def trace(edges: DataFrame, seeds: DataFrame, max_gap_s: int, max_hops: int = 5, terminal: DataFrame | None = None) -> DataFrame:
     """origin, holder, hop, path, last_ts, evidence of walks from seed transfers, each hop strictly later and within the gap.
@@ -52,9 +54,14 @@ def shared_attributes(df: DataFrame, account: str, attribute: str, hub_cap: int,
     return d.join(d.select(F.col("a").alias("b"), F.col("v").alias("v2")), (F.col("v") == F.col("v2")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
-def flow_matrix(df: DataFrame, source: str, layer: str, layers: list, value: str) -> DataFrame:
-    """Totals by source, a column a layer."""
-    return df.groupBy(source).pivot(layer, layers).agg(F.sum(F.col(value).cast("decimal(18,2)")))
+def handler_clusters(df: DataFrame, account: str, attribute: str, hub_cap: int, min_shared: int = 1) -> DataFrame:
+    """id, component (its least account) of accounts that hang together by shared attribute values."""
+    return components(shared_attributes(df, account, attribute, hub_cap, min_shared))
+
+
+def flow_matrix(df: DataFrame, source: str | list[str], layer: str, layers: list, value: str) -> DataFrame:
+    """Totals by source (bank, or paying and receiving bank), a column a layer."""
+    return df.groupBy(*([source] if isinstance(source, str) else source)).pivot(layer, layers).agg(F.sum(F.col(value).cast("decimal(18,2)")))
 
 
 def delay_stats(df: DataFrame, start: str, end: str, by: str) -> DataFrame:

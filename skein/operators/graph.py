@@ -7,7 +7,7 @@ import uuid
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", root)
     path, schema = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}", df.schema
@@ -36,6 +38,14 @@ def degree(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def weighted_degree(edges: DataFrame) -> DataFrame:
+    """id, degree (edges at it, repeated ones counted), weight (their sum) of every node of src, dst, weight; loops count once."""
+    loop = F.col("src") == F.col("dst")
+    e = edges.where("src is not null and dst is not null")
+    ends = e.select(F.col("src").alias("id"), "weight").unionByName(e.where(~loop).select(F.col("dst").alias("id"), "weight"))
+    return ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum(F.col("weight").cast("decimal(18,2)")).alias("weight"))
+
+
 def pagerank(edges: DataFrame, d: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
     """id, rank after a fixed number of rounds; edges src, dst, weight. Dangling mass goes to all; ranks sum to 1."""
     e = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
@@ -43,7 +53,9 @@ def pagerank(edges: DataFrame, d: float = 0.85, rounds: int = 20, cut_every: int
     e = cut_lineage(e.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("w") / F.col("sum_w")).alias("p")))
     nodes = cut_lineage(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct().join(e.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1)), "id", "left"))
     n = nodes.count()
-    r = nodes.withColumn("rank", F.lit(1.0 / n if n else 0.0))
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    r = nodes.withColumn("rank", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
         dangling = r.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
         into = e.join(r.select("id", "rank"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("into"))
@@ -100,13 +112,27 @@ def k_hop(e: DataFrame, src, k: int) -> DataFrame:
     return seen
 
 
-def depth(e: DataFrame, roots: list, most: int = 10) -> DataFrame:
-    """root, id, hops from each root; layers between a handler and the ground are hops - 1."""
-    out = None
-    for r in roots:
-        d = k_hop(e, r, most).withColumn("root", F.lit(r))
-        out = d if out is None else out.unionByName(d)
-    return out
+def shortest_paths(e: DataFrame, src, k: int) -> DataFrame:
+    """id, hops, path of every node within k steps of src: the least of its shortest paths, by frontier."""
+    n = cut_lineage(both_ways(e))
+    seen = n.where(F.col("a") == F.lit(src)).select(F.col("a").alias("id")).distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path"))
+    for hop in range(1, k + 1):
+        new = seen.where(F.col("hops") == hop - 1).join(n, F.col("id") == F.col("a")).groupBy("b").agg(F.min("path").alias("path")).select(F.col("b").alias("id"), F.lit(hop).alias("hops"), F.concat("path", F.array("b")).alias("path"))
+        seen = cut_lineage(seen.unionByName(new.join(seen.select("id"), "id", "left_anti")))
+    return seen
+
+
+def depth(e: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
+    """root, id, hops from each root (id), all roots at once; layers between a handler and the ground are hops - 1."""
+    n = cut_lineage(both_ways(e))
+    seen = n.select(F.col("a").alias("id")).join(roots.select("id"), "id", "left_semi").distinct().select(F.col("id").alias("root"), "id", F.lit(0).alias("hops"))
+    for hop in range(1, most + 1):
+        new = seen.where(F.col("hops") == hop - 1).join(n, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        new = cut_lineage(new)
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen
 
 
 def match(edges: DataFrame, types: list[str]) -> DataFrame:
@@ -214,8 +240,14 @@ def louvain(e: DataFrame, most_nodes: int = 100_000) -> DataFrame:
     return edges.groupBy("component").applyInPandas(run, f"id {kind}, community {kind}")
 
 
+def ranked(scores: DataFrame, by: str, top: int) -> DataFrame:
+    """The first `top` of scores with their rank: most of `by`, then the least id. Only these rows meet in one task."""
+    few = scores.orderBy(F.desc(by), "id").limit(top)
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), "id")))
+
+
 def insulated(scores: DataFrame, edges: DataFrame, victims: DataFrame) -> DataFrame:
-    """Scores of nodes without an edge to a victim (id), best first by rank."""
+    """Scores of nodes that are no victim (id) and have no edge to one."""
     touched = both_ways(edges).join(victims.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
     return scores.join(touched, "id", "left_anti").join(victims.select("id"), "id", "left_anti")
 

@@ -77,6 +77,15 @@ def colocated(df: DataFrame, key: str, seconds: int = 900, min_meets: int = 1) -
     return g.where(F.col("n_meets") >= min_meets)
 
 
+def seen_together(left: DataFrame, right: DataFrame, key: str, seconds: int = 900, min_meets: int = 1) -> DataFrame:
+    """a, b, n_meets, first_ts, last_ts of a vehicle of the left and a phone of the right table at the same key in time.
+
+    Both have id, who, ts and the key; a meeting is a pair of records.
+    """
+    g = near_in_time(left, right, key, seconds).groupBy(F.col("who").alias("a"), F.col("who2").alias("b"))
+    return g.agg(F.count("*").alias("n_meets"), F.min(F.least("ts", "ts2")).alias("first_ts"), F.max(F.greatest("ts", "ts2")).alias("last_ts")).where(F.col("n_meets") >= min_meets)
+
+
 def intermediaries(edges: DataFrame) -> DataFrame:
     """a, b, via of pairs that share a neighbour and are not neighbours; edges have a < b and are distinct."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,24 +94,32 @@ def intermediaries(edges: DataFrame) -> DataFrame:
     return pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, carried: list[str], seconds: int | None = None) -> DataFrame:
-    """Each left row (id, ts) with the last right row at or before it: one union and one window, no range join.
+def asof(left: DataFrame, right: DataFrame, by: str, carried: list[str], seconds: int | None = None, after: bool = False, prefix: str = "match") -> DataFrame:
+    """Each left row (id, ts) with the last right row at or before it (after: the first one after it): one union and one window, no range join.
 
     At equal times the right row with the lesser or equal id counts. Keys with a very large history can be split by
     period beforehand.
     """
     row = F.struct("ts", *carried)
     u = left.withColumn("_l", F.lit(1)).withColumn("_r", F.lit(None).cast(right.select(row).schema[0].dataType)).unionByName(right.withColumn("_l", F.lit(0)).withColumn("_r", row), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("ts", "id", "_l").rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.desc("ts"), F.desc("id"), F.desc("_l")] if after else ["ts", "id", "_l"]
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l = 1")
     if seconds is not None:
-        out = out.withColumn("_m", F.when(F.unix_micros("ts") - F.unix_micros("_m.ts") <= seconds * 1_000_000, F.col("_m")))
-    return out.select(*left.columns, F.col("_m.ts").alias("match_ts"), *(F.col(f"_m.{c}").alias(f"match_{c}") for c in carried))
+        out = out.withColumn("_m", F.when(F.abs(F.unix_micros("ts") - F.unix_micros("_m.ts")) <= seconds * 1_000_000, F.col("_m")))
+    return out.select(*left.columns, F.col("_m.ts").alias(f"{prefix}_ts"), *(F.col(f"_m.{c}").alias(f"{prefix}_{c}") for c in carried))
 
 
 def sat_ground_match(sat: DataFrame, ground: DataFrame, by: str, seconds: int, metres: float) -> DataFrame:
-    """Satellite fixes (id, ts, lat, lon, by) with the last ground fix within the time and distance."""
-    m = asof(sat, ground, by, ["id", "lat", "lon"], seconds)
+    """Satellite fixes (id, ts, lat, lon, by) with the ground fix that is nearest in time, if within the time and distance.
+
+    Of two as near the earlier one counts.
+    """
+    got = ["id", "lat", "lon"]
+    m = asof(asof(sat, ground, by, got, seconds), ground, by, got, seconds, after=True, prefix="next")
+    gap = lambda x: F.abs(F.unix_micros("ts") - F.unix_micros(f"{x}_ts"))
+    later = F.coalesce(gap("next") < gap("match"), F.col("match_ts").isNull())
+    m = m.select(*sat.columns, *(F.when(later, F.col(f"next_{c}")).otherwise(F.col(f"match_{c}")).alias(f"match_{c}") for c in ("ts", *got)))
     return m.withColumn("metres", haversine("lat", "lon", "match_lat", "match_lon")).where(F.col("metres") <= metres)
 
 

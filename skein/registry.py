@@ -138,7 +138,7 @@ def shared_identity_documents(s, d):
     return telecom.shared_documents(ev(s, d), "k", "user_id", 60)
 
 
-@query("SELECT c_custkey, CASE WHEN substr(c_name, length(c_name)) = '1' THEN '1' ELSE '7' END AS prefix, 'INFERRED' AS tier FROM customer WHERE substr(ltrim(regexp_extract(c_name, '\\d+$'), '0'), 1, 1) IN ('1', '7')".replace("CASE WHEN substr(c_name, length(c_name)) = '1' THEN '1' ELSE '7' END", "substr(ltrim(regexp_extract(c_name, '\\d+$'), '0'), 1, 1)"))
+@query("SELECT c_custkey, substr(ltrim(regexp_extract(c_name, '\\d+$'), '0'), 1, 1) AS prefix, 'INFERRED' AS tier FROM customer WHERE substr(ltrim(regexp_extract(c_name, '\\d+$'), '0'), 1, 1) IN ('1', '7')")
 def virtual_number_prefixes(s, d):
     c = table(s, d, "customer").withColumn("number", F.regexp_extract("c_name", r"\d+$", 0))
     return telecom.flag_prefix(c, "number", ["1", "7"]).select("c_custkey", "prefix", "tier")
@@ -165,7 +165,7 @@ def fan_out_72h(s, d):
     return finance.fan(t, "src", "dst", 72, 4).select("event_id", "src", F.col("n_parties").cast("bigint").alias("n_parties"))
 
 
-@query(f"WITH {EV}, x AS (SELECT DISTINCT user_id, k FROM ev WHERE value >= 150), few AS (SELECT k FROM x GROUP BY k HAVING count(*) BETWEEN 2 AND 40) SELECT x.user_id AS a, y.user_id AS b, count(*) AS shared FROM x JOIN y_ y ON x.k = y.k AND x.user_id < y.user_id WHERE x.k IN (SELECT k FROM few) GROUP BY ALL HAVING count(*) >= 2".replace("y_ y", "x y"))
+@query(f"WITH {EV}, x AS (SELECT DISTINCT user_id, k FROM ev WHERE value >= 150), few AS (SELECT k FROM x GROUP BY k HAVING count(*) BETWEEN 2 AND 40) SELECT x.user_id AS a, y.user_id AS b, count(*) AS shared FROM x JOIN x y ON x.k = y.k AND x.user_id < y.user_id WHERE x.k IN (SELECT k FROM few) GROUP BY ALL HAVING count(*) >= 2")
 def shared_attributes(s, d):
     return finance.shared_attributes(ev(s, d).where("value >= 150"), "user_id", "k", 40, 2)
 
@@ -211,29 +211,42 @@ def pagerank_k(s, d):
     return graph.pagerank(e, rounds=10).select("id", F.round("rank", 6).alias("rank"))
 
 
-SPARSE = EV + ", e AS (SELECT DISTINCT least(user_id, k + 1000000) AS a, greatest(user_id, k + 1000000) AS b FROM ev WHERE value >= 250)"
+BIPARTITE = EV + ", e AS (SELECT DISTINCT least(user_id, k + 1000000) AS a, greatest(user_id, k + 1000000) AS b FROM ev)"
 
 
-@query(f"WITH RECURSIVE {SPARSE}, n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.c = n.a) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {BIPARTITE}, n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.c = n.a) SELECT id, min(c) AS component FROM r GROUP BY id")
 def components(s, d):
-    e = ev(s, d).where("value >= 250").select(F.col("user_id").alias("a"), (F.col("k") + 1_000_000).cast("bigint").alias("b"))
+    e = ev(s, d).select(F.col("user_id").alias("a"), (F.col("k") + 1_000_000).cast("bigint").alias("b"))
     return graph.components(e)
 
 
-@query(f"WITH RECURSIVE {SPARSE}, n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.c = n.a), x AS (SELECT id, min(c) AS c FROM r GROUP BY id), z AS (SELECT id, c, count(CASE WHEN id < 1000000 THEN 1 END) OVER (PARTITION BY c) AS n_numbers FROM x) SELECT CASE WHEN id < 1000000 THEN 'sim' ELSE 'device' END AS kind, CAST(CASE WHEN id < 1000000 THEN id ELSE id - 1000000 END AS VARCHAR) AS member, n_numbers FROM z WHERE n_numbers >= 2")
+@query(f"WITH RECURSIVE {BIPARTITE}, n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.c = n.a), x AS (SELECT id, min(c) AS c FROM r GROUP BY id), z AS (SELECT id, c, count(CASE WHEN id < 1000000 THEN 1 END) OVER (PARTITION BY c) AS n_numbers FROM x) SELECT CASE WHEN id < 1000000 THEN 'sim' ELSE 'device' END AS kind, CAST(CASE WHEN id < 1000000 THEN id ELSE id - 1000000 END AS VARCHAR) AS member, n_numbers FROM z WHERE n_numbers >= 2")
 def identity_clusters(s, d):
-    return telecom.identity_clusters(ev(s, d).where("value >= 250"), "k", "user_id", 2).select("kind", "member", "n_numbers")
+    return telecom.identity_clusters(ev(s, d), "k", "user_id", 2).select("kind", "member", "n_numbers")
 
 
-@query(f"""WITH {BACKBONE}, deg AS (SELECT a, count(*) AS d FROM n GROUP BY a), two AS (SELECT x.b AS p, y.b AS q, count(*) AS cn, sum(CASE WHEN d > 1 THEN 1 / ln(d) ELSE 0 END) AS aa FROM n x JOIN n y ON x.a = y.a AND x.b < y.b JOIN deg ON deg.a = x.a GROUP BY ALL)
-    SELECT p AS a, q AS b, cn, round(cn / (dp.d + dq.d - cn), 6) AS jaccard, round(aa, 6) AS adamic_adar FROM two JOIN deg dp ON dp.a = p JOIN deg dq ON dq.a = q WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = p AND e.b = q)""")
+@query(f"""WITH {BACKBONE}, deg AS (SELECT a, count(*) AS d FROM n GROUP BY a), w2 AS (SELECT x.b AS p, y.b AS q, count(*) AS c FROM n x JOIN n y ON x.a = y.a GROUP BY ALL), w3 AS (SELECT w2.p, n.b AS q, sum(c) AS c FROM w2 JOIN n ON w2.q = n.a GROUP BY ALL),
+    two AS (SELECT x.b AS p, y.b AS q, count(*) AS cn, sum(CASE WHEN d > 1 THEN 1 / ln(d) ELSE 0 END) AS aa FROM n x JOIN n y ON x.a = y.a AND x.b < y.b JOIN deg ON deg.a = x.a GROUP BY ALL)
+    SELECT two.p AS a, two.q AS b, cn, round(cn / (dp.d + dq.d - cn), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(0.0025 * cn + 0.000125 * coalesce(w3.c, 0), 6) AS katz FROM two JOIN deg dp ON dp.a = two.p JOIN deg dq ON dq.a = two.q LEFT JOIN w3 ON w3.p = two.p AND w3.q = two.q WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = two.p AND e.b = two.q)""")
 def link_prediction(s, d):
-    return graph.link_scores(_backbone(s, d)).select("a", "b", "cn", F.round("jaccard", 6).alias("jaccard"), F.round("adamic_adar", 6).alias("adamic_adar"))
+    return graph.link_scores(_backbone(s, d)).select("a", "b", "cn", *(F.round(c, 6).alias(c) for c in ("jaccard", "adamic_adar", "katz")))
 
 
-@query(f"WITH RECURSIVE {BACKBONE}, r AS (SELECT 1::BIGINT AS id, 0 AS hops UNION SELECT n.b, r.hops + 1 FROM r JOIN n ON r.id = n.a WHERE r.hops < 3) SELECT id, min(hops) AS hops FROM r WHERE EXISTS (SELECT 1 FROM n WHERE n.a = 1) GROUP BY id")
+@query(f"""WITH RECURSIVE {BACKBONE}, r AS (SELECT 1::BIGINT AS id, 0 AS hops, [1::BIGINT] AS path UNION ALL SELECT n.b, r.hops + 1, list_append(path, n.b) FROM r JOIN n ON r.id = n.a WHERE r.hops < 3 AND NOT list_contains(path, n.b)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, path) AS i FROM r WHERE EXISTS (SELECT 1 FROM n WHERE n.a = 1)) SELECT id, hops, array_to_string(path, '>') AS path FROM x WHERE i = 1""")
 def k_hop_paths(s, d):
-    return graph.k_hop(_backbone(s, d), 1, 3)
+    return graph.shortest_paths(_backbone(s, d), 1, 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query(f"WITH RECURSIVE {BACKBONE}, r AS (SELECT DISTINCT a AS root, a AS id, 0 AS hops FROM n WHERE a % 50 = 0 UNION SELECT r.root, n.b, r.hops + 1 FROM r JOIN n ON r.id = n.a WHERE r.hops < 4) SELECT root, id, min(hops) AS hops FROM r GROUP BY ALL")
+def hierarchy_depth(s, d):
+    b = _backbone(s, d)
+    return graph.depth(b, graph.both_ways(b).select(F.col("a").alias("id")).distinct().where("id % 50 = 0"), 4)
+
+
+@query(f"WITH {HAND}, e AS (SELECT src, dst, CAST(value AS DECIMAL(18,2)) AS w FROM hand), x AS (SELECT src AS id, w FROM e UNION ALL SELECT dst, w FROM e WHERE src <> dst) SELECT id, count(*) AS degree, sum(w) AS weight FROM x GROUP BY id")
+def weighted_degree(s, d):
+    return graph.weighted_degree(hand(ev(s, d)).withColumnRenamed("value", "weight"))
 
 
 @query(f"WITH {HAND}, x AS (SELECT h.*, event_type AS type FROM hand h JOIN ev USING (event_id) WHERE h.value >= 150 AND src <> dst) SELECT p.src AS n0, p.dst AS n1, q.dst AS n2 FROM x p JOIN x q ON p.dst = q.src WHERE p.type = 'click' AND q.type = 'purchase'")
@@ -243,7 +256,16 @@ def pattern_match(s, d):
     return graph.match(x, ["click", "purchase"])
 
 
-@query()
+def _between_sql(levels: int) -> str:
+    """b: betweenness of all nodes of n, from the numbers of shortest paths of up to so many steps."""
+    out = "p0 AS (SELECT DISTINCT a AS s, a AS t, 0 AS d, 1.0::DOUBLE AS c FROM n)"
+    for k in range(1, levels + 1):
+        out += f", p{k} AS MATERIALIZED (SELECT x.s, n.b AS t, {k} AS d, sum(x.c) AS c FROM (SELECT * FROM p{k - 1} WHERE d = {k - 1}) x JOIN n ON x.t = n.a WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} y WHERE y.s = x.s AND y.t = n.b) GROUP BY ALL UNION ALL SELECT * FROM p{k - 1})"
+    p = f"p{levels}"
+    return out + f", b AS (SELECT v.id, coalesce(x.b, 0) AS b FROM (SELECT DISTINCT a AS id FROM n) v LEFT JOIN (SELECT x.t AS id, sum(x.c * y.c / z.c) / 2 AS b FROM {p} x JOIN {p} y ON x.t = y.s JOIN {p} z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.t) x USING (id))"
+
+
+@query(f"WITH {BACKBONE}, {_between_sql(6)} SELECT id, round(b, 6) AS betweenness, (SELECT count(*) FROM b)::INT AS n_sources FROM b")
 def betweenness_scores(s, d):
     return graph.betweenness(_backbone(s, d)).withColumn("betweenness", F.round("betweenness", 6))
 
@@ -253,16 +275,17 @@ def louvain_communities(s, d):
     return graph.louvain(_backbone(s, d))
 
 
-@query(f"WITH {BACKBONE}, deg AS (SELECT a AS id, count(*) AS degree FROM n GROUP BY a) SELECT id, degree FROM deg WHERE id % 5 <> 0 AND id NOT IN (SELECT a FROM n WHERE b % 25 = 0) AND id % 25 <> 0".replace("id % 5 <> 0 AND ", ""))
+@query(f"WITH {BACKBONE}, {_between_sql(6)}, x AS (SELECT id, round(b, 6) AS betweenness FROM b WHERE id NOT IN (SELECT a FROM n WHERE b % 25 = 0) AND id % 25 <> 0) SELECT id, betweenness, row_number() OVER (ORDER BY betweenness DESC, id)::INT AS rank FROM x QUALIFY rank <= 100")
 def insulated_handlers(s, d):
     b = _backbone(s, d)
     victims = graph.both_ways(b).select(F.col("a").alias("id")).distinct().where("id % 25 = 0")
-    return graph.insulated(graph.degree(b), b, victims)
+    scores = graph.betweenness(b).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return graph.ranked(graph.insulated(scores, b, victims), "betweenness", 100)
 
 
-@query(f"WITH {EV}, x AS (SELECT DISTINCT user_id AS key, k % 3 AS dist FROM ev WHERE value >= 200) SELECT p.key, p.dist AS district_a, q.dist AS district_b FROM x p JOIN x q ON p.key = q.key AND p.dist < q.dist")
+@query(f"WITH {EV}, x AS (SELECT DISTINCT user_id AS key, k % 3 AS dist FROM ev) SELECT p.key, p.dist AS district_a, q.dist AS district_b FROM x p JOIN x q ON p.key = q.key AND p.dist < q.dist")
 def cross_jurisdiction(s, d):
-    e = ev(s, d).where("value >= 200").withColumn("dist", F.col("k") % 3)
+    e = ev(s, d).withColumn("dist", F.col("k") % 3)
     return graph.cross_district(e, "user_id", "dist").select("key", "district_a", "district_b")
 
 
@@ -299,16 +322,16 @@ def merkle_root(s, d):
     return evidence.merkle_root(table(s, d, "benchmark").select("item_id", fn.sha256("text").alias("leaf")), "item_id", "leaf")
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, CAST(event_id AS VARCHAR) || ':' || event_type AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE user_id < 20),
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, CAST(event_id AS VARCHAR) || ':' || event_type AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
     c AS (SELECT user_id, event_id, r, repeat('0', 64) AS prev, sha256(repeat('0', 64) || rec) AS hash FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, c.hash, sha256(c.hash || o.rec) FROM c JOIN o ON o.user_id = c.user_id AND o.r = c.r + 1) SELECT user_id, event_id, prev, hash FROM c""")
 def audit_chain(s, d):
-    e = ev(s, d).where("user_id < 20").withColumn("rec", F.concat_ws(":", F.col("event_id").cast("string"), "event_type"))
+    e = ev(s, d).withColumn("rec", F.concat_ws(":", F.col("event_id").cast("string"), "event_type"))
     return evidence.chain(e, "user_id", "event_id", "rec").select("user_id", "event_id", "prev", "hash")
 
 
-@query("SELECT doc_id AS evidence_id, sha256(text) AS sha256, 'root' AS merkle_root, 'BSA 2023 s.63' AS legal_basis FROM documents")
+@query(f"WITH {MERKLE} SELECT item_id AS evidence_id, sha256(text) AS sha256, (SELECT h FROM l8) AS merkle_root, (SELECT count(*) FROM benchmark) AS n_items, 'BSA 2023 s.63' AS legal_basis FROM benchmark")
 def certificate_rows(s, d):
-    return evidence.certificate_rows(table(s, d, "documents").select(F.col("doc_id").alias("evidence_id"), fn.sha256("text").alias("sha256")), "root", "BSA 2023 s.63")
+    return evidence.certificate_rows(table(s, d, "benchmark").select(F.col("item_id").alias("evidence_id"), fn.sha256("text").alias("sha256")), "BSA 2023 s.63")
 
 
 @query("SELECT doc_id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)")
@@ -328,17 +351,15 @@ def keccak_digests(s, d):
     return table(s, d, "benchmark").select("item_id", fn.keccak256(F.col("text").cast("binary")).alias("keccak256"))
 
 
-EMAIL = text.PATTERNS["email"]
-
-
-@query(f"SELECT doc_id, kind, value FROM (SELECT doc_id, 'email' AS kind, unnest(list_distinct(regexp_extract_all(text, '{EMAIL}'))) AS value FROM documents UNION ALL SELECT doc_id, 'ipv4', unnest(list_distinct(regexp_extract_all(text, '{text.PATTERNS['ipv4']}'))) FROM documents)")
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS value FROM documents" for k, p in text.PATTERNS.items()))
 def extract_contacts(s, d):
-    return text.extract(table(s, d, "documents"), "doc_id", "text", {k: text.PATTERNS[k] for k in ("email", "ipv4")})
+    return text.extract(table(s, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, regexp_matches(text, '[A-Za-zÀ-ɏ]') AS latin FROM documents")
+@query("""WITH x AS (SELECT doc_id, len(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin, len(regexp_replace(text, '[^ऀ-ॿ]', '', 'g')) AS devanagari, len(regexp_replace(text, '[^஀-௿]', '', 'g')) AS tamil, len(regexp_replace(text, '[^ఀ-౿]', '', 'g')) AS telugu FROM documents)
+    SELECT doc_id, CASE greatest(latin, devanagari, tamil, telugu) WHEN 0 THEN 'none' WHEN telugu THEN 'telugu' WHEN tamil THEN 'tamil' WHEN latin THEN 'latin' ELSE 'devanagari' END AS script FROM x""")
 def language_routing(s, d):
-    return table(s, d, "documents").select("doc_id", (text.script_of(F.col("text")) == "latin").alias("latin"))
+    return table(s, d, "documents").select("doc_id", text.script_of(F.col("text")).alias("script"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('the', 'and', 'for')))), ',') AS hits FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('the', 'and', 'for'))) > 0")
@@ -346,10 +367,10 @@ def vocabulary_hits(s, d):
     return text.vocabulary_hits(table(s, d, "documents"), "doc_id", "text", ("the", "and", "for")).select("doc_id", F.array_join("hits", ",").alias("hits"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS id, v.vec_id AS neighbour, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM p) SELECT id, neighbour, rank, score FROM r WHERE rank <= 10""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS id, v.vec_id AS neighbour, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM p) SELECT id, neighbour, rank, score FROM r WHERE rank <= 10""")
 def mo_topk(s, d):
     v = table(s, d, "embeddings")
-    return text.nearest(v, v.where("vec_id < 5"), "vec_id", "embedding", 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return text.nearest(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM t WHERE w IN ('anon', 'ble', 'reth') GROUP BY ALL), df AS (SELECT w, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM tf GROUP BY w) SELECT doc_id, count(*) AS n_terms, round(sum(tf * idf), 6) AS score FROM tf JOIN df USING (w) GROUP BY doc_id""")
@@ -357,10 +378,10 @@ def lexical_search(s, d):
     return text.lexical_search(table(s, d, "documents"), "doc_id", "text", ["anon", "ble", "reth"])
 
 
-@query("WITH x AS (SELECT doc_id, source FROM documents WHERE doc_id < 200) SELECT DISTINCT a.doc_id AS handle, b.doc_id AS person, 'source' AS via, 'INFERRED' AS tier FROM x a JOIN x b ON a.source = b.source WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 = 1")
+@query("WITH x AS (SELECT doc_id, md5(text) AS wallet FROM documents) SELECT DISTINCT a.doc_id AS handle, b.doc_id AS person, 'wallet' AS via, 'INFERRED' AS tier FROM x a JOIN x b ON a.wallet = b.wallet WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
 def link_handles(s, d):
-    x = table(s, d, "documents").where("doc_id < 200").select("doc_id", "source")
-    return text.link_handles(x.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "handle"), x.where("doc_id % 3 = 1").withColumnRenamed("doc_id", "person"), ["source"])
+    x = table(s, d, "documents").select("doc_id", F.md5("text").alias("wallet"))
+    return text.link_handles(x.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "handle"), x.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "person"), ["wallet"])
 
 
 @query()
@@ -458,6 +479,63 @@ def rel_arrays(s, d):
     return g.select("o_custkey", F.size("o").cast("bigint").alias("n"), F.array_max("o").alias("last_order"), F.aggregate("o", F.lit(0).cast("bigint"), lambda a, x: a + x % 10).alias("s"))
 
 
+@query(f"""WITH {EV}, f AS (SELECT event_id AS id, ts, k, event_type, 19.5 + (event_id % 97) / 97.0 AS lat, 76.5 + (event_id % 101) / 101.0 AS lon FROM ev), p AS (SELECT x.id, y.id AS match_id, {{m}} AS metres,
+    row_number() OVER (PARTITION BY x.id ORDER BY abs(epoch_us(x.ts) - epoch_us(y.ts)), (y.ts, y.id) > (x.ts, x.id), CASE WHEN (y.ts, y.id) > (x.ts, x.id) THEN y.id ELSE -y.id END) AS r FROM f x JOIN f y ON x.k = y.k AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 7200000000 WHERE x.event_type = 'purchase' AND y.event_type = 'view') SELECT id, match_id, CAST(round(metres) AS BIGINT) AS metres FROM p WHERE r = 1 AND metres <= 60000""".format(
+    m="2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(y.lat) - radians(x.lat)) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin((radians(y.lon) - radians(x.lon)) / 2), 2))))"
+))
+def satellite_ground(s, d):
+    e = ev(s, d).select(F.col("event_id").alias("id"), "ts", "k", "event_type", (F.lit(19.5) + F.col("event_id") % 97 / F.lit(97.0)).alias("lat"), (F.lit(76.5) + F.col("event_id") % 101 / F.lit(101.0)).alias("lon"))
+    m = telecom.sat_ground_match(e.where("event_type = 'purchase'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "k", 7200, 60_000)
+    return m.select("id", "match_id", F.round("metres").cast("bigint").alias("metres"))
+
+
+@query(f"WITH {EV} SELECT x.user_id AS a, y.user_id AS b, count(*) AS n_meets, epoch_us(min(least(x.ts, y.ts))) AS first_us, epoch_us(max(greatest(x.ts, y.ts))) AS last_us FROM ev x JOIN ev y ON x.k = y.k AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 900000000 WHERE x.event_type = 'purchase' AND y.event_type = 'view' GROUP BY ALL HAVING count(*) >= 1")
+def plate_phone_paths(s, d):
+    e = ev(s, d)
+    who = lambda kind: e.where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), "ts", "k")
+    m = telecom.seen_together(who("purchase"), who("view"), "k", 900)
+    return m.select("a", "b", "n_meets", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@query(f"WITH RECURSIVE {EV}, x AS (SELECT DISTINCT user_id, k FROM ev WHERE value >= 150), few AS (SELECT k FROM x GROUP BY k HAVING count(*) BETWEEN 2 AND 40), p AS (SELECT x.user_id AS a, y.user_id AS b FROM x JOIN x y ON x.k = y.k AND x.user_id < y.user_id WHERE x.k IN (SELECT k FROM few) GROUP BY ALL HAVING count(*) >= 3), n AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS c FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.c = n.a) SELECT id, min(c) AS component FROM r GROUP BY id")
+def handler_clusters(s, d):
+    return finance.handler_clusters(ev(s, d).where("value >= 150"), "user_id", "k", 40, 3)
+
+
+@query(f"""WITH {HAND} SELECT src % 5 AS payer, dst % 5 AS payee, sum(CAST(CASE WHEN k % 3 = 0 THEN value END AS DECIMAL(18,2))) AS "0", sum(CAST(CASE WHEN k % 3 = 1 THEN value END AS DECIMAL(18,2))) AS "1", sum(CAST(CASE WHEN k % 3 = 2 THEN value END AS DECIMAL(18,2))) AS "2" FROM hand GROUP BY ALL""")
+def bank_flows(s, d):
+    h = hand(ev(s, d)).select((F.col("src") % 5).alias("payer"), (F.col("dst") % 5).alias("payee"), (F.col("k") % 3).alias("layer"), "value")
+    return finance.flow_matrix(h, ["payer", "payee"], "layer", [0, 1, 2], "value")
+
+
+@query("SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rel_rollup(s, d):
+    return table(s, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "n")
+
+
+@query("SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def rel_grouping_sets(s, d):
+    a, b = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(s, d, "orders").groupingSets([[a], [b]], a, b).agg(F.count("*").alias("n")).select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "n")
+
+
+@query("SELECT a.r_name AS r1, b.n_name AS n2 FROM region a CROSS JOIN nation b")
+def rel_cross_join(s, d):
+    return table(s, d, "region").select(F.col("r_name").alias("r1")).crossJoin(table(s, d, "nation").select(F.col("n_name").alias("n2")))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS kinds, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM orders GROUP BY o_custkey")
+def rel_maps(s, d):
+    g = table(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    return g.select("o_custkey", F.size(F.map_keys("m")).cast("bigint").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("F")), F.lit(0)).cast("bigint").alias("f"))
+
+
+@query("SELECT event_id, epoch_us(strptime(strftime(ts, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S') - INTERVAL 330 MINUTE) AS utc_us FROM events")
+def rel_zones(s, d):
+    e = ev(s, d).select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm:ss").alias("t"))
+    return e.select("event_id", F.unix_micros(fn.instant(F.col("t"), F.lit("Asia/Kolkata"))).alias("utc_us"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

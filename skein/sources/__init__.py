@@ -28,14 +28,15 @@ def unify(df: DataFrame, headers: dict[str, str], wanted: tuple[str, ...]) -> Da
     return df.select(*((F.col(known[w]) if w in known else F.lit(None).cast("string")).alias(w) for w in wanted))
 
 
-def read_cdr(spark: SparkSession, path: str, operator: str = "generic", zone: str = "Asia/Kolkata") -> DataFrame:
-    """Call records of one operator in the common schema: UTC times, cleaned numbers, device keys, tier OBSERVED."""
+def read_cdr(spark: SparkSession, path: str, operator: str = "generic", zone: str = "Asia/Kolkata") -> tuple[DataFrame, DataFrame]:
+    """Call records of one operator in the common schema (UTC times, cleaned numbers, device keys, tier OBSERVED), and the lines that don't fit."""
     headers = CDR_HEADERS[operator]
-    rows, _ = read_csv(spark, path, {c: "string" for c in headers})
+    rows, rejects = read_csv(spark, path, {c: "string" for c in headers})
     d = unify(rows, headers, CDR).withColumn("src_zone", F.lit(zone)).withColumn("operator", F.lit(operator))
     d = d.withColumn("start_ts", instant("start", F.col("src_zone"))).withColumn("duration_s", F.expr("try_cast(duration_s as int)"))
     d = d.withColumn("a_party", msisdn("a_party")).withColumn("b_party", msisdn("b_party")).withColumn("device", device_key("imei"))
-    return d.drop("start").withColumn("luhn_ok", F.expr("luhn_check(imei)")).withColumn("tier", F.lit("OBSERVED")).withColumn("evidence", F.array("call_id"))
+    d = d.drop("start").withColumn("luhn_ok", F.expr("luhn_check(imei)")).withColumn("tier", F.lit("OBSERVED")).withColumn("evidence", F.array("call_id"))
+    return d, rejects
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

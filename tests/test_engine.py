@@ -37,9 +37,11 @@ def test_identifiers_tiers_and_zones(spark):
 
 
 def test_sources_keep_rejects_and_unify(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("call_id,a_party,b_party,start,duration,imei,imsi,cell\n1,9876543210,9876543211,2024-01-01 05:30:00,60,356938035643809,404,c1\n")
+    (tmp_path / "a.csv").write_text("call_id,a_party,b_party,start,duration,imei,imsi,cell\n1,9876543210,9876543211,2024-01-01 05:30:00,60,356938035643809,404,c1\n2,short line\n")
     (tmp_path / "b.csv").write_text("id,n\n1,2\nx,3\n")
-    r = sources.read_cdr(spark, str(tmp_path / "a.csv")).first()
+    got, rejects = sources.read_cdr(spark, str(tmp_path / "a.csv"))
+    r = got.first()
+    assert len(rejects.cache().collect()) == 1
     assert r["start_ts"] == datetime(2024, 1, 1) and r["duration_s"] == 60 and r["tier"] == "OBSERVED" and r["evidence"] == ["1"]
     good, bad = sources.read_csv(spark, str(tmp_path / "b.csv"), {"id": "int", "n": "int"})
     assert good.collect()[0][0] == 1 and bad.cache().count() == 1
@@ -180,6 +182,23 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() == 38
 
 
+def test_empty_and_odd_graphs(spark):
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    assert graph.pagerank(none).collect() == [] and graph.weighted_degree(none).collect() == []
+    e = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (1, 2, 3.0), (None, 2, 1.0)], "src long, dst long, weight double")
+    assert sorted(map(tuple, graph.weighted_degree(e).collect())) == [(1, 3, 8), (2, 2, 6)]
+    p = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)])
+    assert {r["id"]: r["path"] for r in graph.shortest_paths(p, 1, 5).collect()} == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 2, 4], 5: [1, 2, 4, 5]}
+    assert {(r["root"], r["id"]): r["hops"] for r in graph.depth(p, edges(spark, [(5, 0), (77, 0)]).select(F.col("a").alias("id")), 2).collect()} == {(5, 5): 0, (5, 4): 1, (5, 2): 2, (5, 3): 2}
+
+
+def test_satellite_takes_the_nearer_ground_fix(spark):
+    kind = "id int, who string, ts timestamp, lat double, lon double"
+    sat = spark.createDataFrame([(1, "u", at(0), 1.0, 1.0), (2, "u", at(100), 1.0, 1.0), (3, "u", at(500), 1.0, 1.0)], kind)
+    ground = spark.createDataFrame([(7, "u", at(4), 1.0, 1.0), (8, "u", at(90), 1.0, 1.0), (9, "u", at(108), 1.0, 1.0), (10, "u", at(501), 9.0, 9.0)], kind)
+    assert {r["id"]: r["match_id"] for r in telecom.sat_ground_match(sat, ground, "who", 60, 500).collect()} == {1: 7, 2: 9}
+
+
 def test_nearest_takes_queries_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0 + i % 3]) for i in range(60)], "id long, v array<float>")
     q = v.where("id % 4 = 0")
