@@ -11,7 +11,7 @@ place in the text) of the first line of the same form. The operator and the pipe
    (multi-match-aware selection). A hash is of (length, segment number, segment).
 2. Lines are aggregated to distinct forms, by hashes of 128 bits, so copies are never paired. The hashes of the forms'
    own segments are joined with each other and with those of the substrings at all other places.
-3. An edit changes the counts of seven letters by two at most in sum; the join keeps only pairs that agree so far. The
+3. An edit changes the counts of nine letters by two at most in sum; the join keeps only pairs that agree so far. The
    letters' counts are in one long, compared within the join's own code.
 4. What is left is verified on the lines themselves by a banded bit-parallel edit distance: after the common ends are
    cut, a word holds the 2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_saved, release, saved, table
 
-LETTERS = "eanirst"  # common ones, so that another word changes some
+LETTERS = "eanirstol"  # common ones, so that another word changes some
 FEW = 1 << 20  # hashes of lines that are broadcast at most
 
 
@@ -60,17 +60,17 @@ def keys(edits: int) -> list[Column]:
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the letters modulo 64, a byte each, in a long; the length modulo 256 in its highest byte."""
+    """Counts of the letters modulo 64, six bits each, in a long; the length modulo 256 in its highest byte."""
     out, size = F.shiftleft((length % 256).cast("bigint"), 56), F.octet_length(line)
     for k, c in enumerate(LETTERS):
         n = ((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("bigint")
-        out = out.bitwiseOR(F.shiftleft(n, 8 * k))
+        out = out.bitwiseOR(F.shiftleft(n, 6 * k))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Never more than what the counts differ by in sum: each is compared around the circle of 64."""
-    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(63))
+    part = lambda x, k: F.shiftrightunsigned(x, 6 * k).bitwiseAND(F.lit(63))
     out = F.lit(0).cast("bigint")
     for k in range(len(LETTERS)):
         d = F.abs(part(a, k) - part(b, k))
@@ -208,7 +208,7 @@ def spent(docs: DataFrame, edits: int, least: int, exact: int) -> DataFrame:
     if least < 2 * edits + 1:
         raise ValueError("segments of shorter lines would be empty")
     near = later_forms(edit_join(lines_of(docs, least), edits)).where("goes").select("g0", "g1")
-    marked = lines_of(docs, exact).select("doc_id", "th", "at", "h0", "h1")
+    marked = saved(lines_of(docs, exact).select("doc_id", "th", "at", "h0", "h1"), "line-places")
     first = marked.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "th", "at")).alias("place"), F.count("*").alias("n"))
     again = first.where("n > 1").select(F.col("h0").alias("f0"), F.col("h1").alias("f1"), "place")
     x = marked.join(again, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1")), "left").join(near, (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
