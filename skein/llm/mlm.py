@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +116,11 @@ def squares(net: dict) -> dict[str, np.ndarray]:
     return {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
 
 
-def train(net: dict, ctx: np.ndarray, ids: np.ndarray, rate: float = 0.15, seen: dict | None = None) -> None:
+def train(net: dict, ctx: np.ndarray, ids: np.ndarray, rate: float = 0.2, seen: dict | None = None) -> None:
     """Adagrad on the masked places, once each, in place; seen holds the squares of what came before, from squares()."""
     seen = squares(net) if seen is None else seen
     groups = len(net["ib"])
-    batch = 128 * groups
+    batch = 256 * groups
 
     def move(k, grad):
         seen[k] += grad * grad
@@ -329,30 +329,35 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: dict[str, np.ndarray], sa
     return out
 
 
+class _Met(dict):
+    """Numbers of words, in the order in which they were first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 def score(docs: DataFrame, vocab: Vocabulary, net: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, n_words, n_unknown, log_likelihood, mean of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocab, net), seen, old = sent.value, {}, {}
+        (vocab, net), seen, logs = sent.value, _Met(), np.zeros(0)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1_000_000):
                 ids, doc, counts, flat = _ids(texts[a:b], vocab)
                 got = np.zeros(len(ids))
                 c = contexts(ids, doc)
-                for k in range(0, len(ids), 8_192):
-                    got[k : k + 8_192] = log_probs(net, c[k : k + 8_192], ids[k : k + 8_192])
+                for k in range(0, len(ids), 16_384):
+                    got[k : k + 16_384] = log_probs(net, c[k : k + 16_384], ids[k : k + 16_384])
                 other = np.flatnonzero(ids == 0)
-                words = [flat[i] for i in other.tolist()]
-                if len(seen) > HELD // 2:
-                    old, seen = seen, {}
-                new = set(words).difference(seen)
-                again = new.intersection(old)
-                seen.update(zip(again, map(old.__getitem__, again)))
-                new = list(new - again)
-                seen.update(zip(new, vocab.spelling.log_probs(new).tolist()))
-                got[other] += np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
+                if len(seen) > HELD:
+                    seen, logs = _Met(), np.zeros(0)
+                number = np.fromiter(map(seen.__getitem__, map(flat.__getitem__, other.tolist())), np.int64, len(other))
+                if len(seen) > len(logs):
+                    logs = np.concatenate([logs, vocab.spelling.log_probs(list(islice(seen, len(logs), None)))])
+                got[other] += logs[number]
                 total = np.bincount(doc, got, b - a) if len(ids) else np.zeros(b - a)
                 unknown = np.bincount(doc, ids == 0, b - a).astype(np.int64) if len(ids) else np.zeros(b - a, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(unknown), pa.array(total)], names=["doc_id", "n_words", "n_unknown", "log_likelihood"])
