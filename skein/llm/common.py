@@ -23,6 +23,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,6 +69,19 @@ def splitter(pattern: str):
     return regex.compile(SAME.get(pattern, pattern))
 
 
+def spare() -> None:
+    """Give back what a Python worker has freed: it lives on beside the next stage's tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges [a, b) whose sizes add up to about `most`; a single larger item stands alone."""
     a = total = 0

@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved, slices, table
+from .common import drop_saved, saved, slices, spare, table
 from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) ** 5 | 1) & (1 << 64) - 1 for j in range(64)], np.uint64)
-HELD = 300_000
+HELD = 200_000
 
 
 class _Words(dict):
@@ -75,12 +75,14 @@ def _per_text(docs: DataFrame, schema: str, row) -> DataFrame:
         words = _Words()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 2_000_000):
+            for a, b in slices([len(t or "") for t in texts], 500_000):
                 if len(words) > HELD:
                     words.clear()
                 cols = zip(*(row(t, words) for t in texts[a:b]))
                 arrays = [pa.array(c, t) for c, t in zip(cols, row.types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *arrays], names=names)
+        words.clear()
+        spare()
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id bigint, th bigint, {schema}")
 

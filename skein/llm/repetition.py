@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, spare, table
 
 BLANKS, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 
@@ -122,6 +122,7 @@ def rules(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 500_000
             for a, b in slices([len(t) for t in texts], slice_chars):
                 cols = list(zip(*measure(texts[a:b], limits)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names])
+        spare()
 
     out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
     failed = (F.col("n_words") < limits.least_words) | (F.col("n_repeat_words") > limits.max_repeat_words * F.col("n_words"))
@@ -141,6 +142,7 @@ def keep(docs: DataFrame, limits: Limits = Limits(), slice_chars: int = 500_000)
                 for n, _, _, _, r, c, g in measure(texts[a:b], limits):
                     ok.append(n >= limits.least_words and r <= limits.max_repeat_words * n and c <= limits.max_covered * n and g <= limits.max_repeat)
             yield batch.filter(pa.array(ok, pa.bool_()))
+        spare()
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow can't take names with dots
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
