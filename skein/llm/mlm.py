@@ -15,8 +15,8 @@ of the units, every unit trains from the last round's network on its own places,
 networks are averaged, weighted by their places (sums by part of the network and salt, so that no task meets all
 networks). What is counted and trained on grows with the corpus.
 
-Edge cases: null or empty texts have no words, log_likelihood 0 and a null mean; equal texts get equal scores; an
-empty corpus has no vocabulary, and all bytes are alike; a text of any length is read a million characters at a time or
+Edge cases: null or empty texts have no words, log_likelihood 0 and a null mean; equal texts get equal scores but for the
+last bits (a product of matrices in single precision depends on a row's place in it); an empty corpus has no vocabulary, and all bytes are alike; a text of any length is read a million characters at a time or
 whole; rows equal in doc_id and text fall to one unit; other columns are left aside, whatever their names.
 """
 
