@@ -150,7 +150,9 @@ class PieceIds:
         flat, of_line = np.empty(int(size.sum()), "<u4"), np.repeat(in_line, size)
         flat[of_line] = np.concatenate([np.zeros(0, "<u4"), *parts])
         flat[~of_line] = np.concatenate([np.zeros(0, "<u4"), *(got[k] for k in lone)])
-        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        before = len(self.seen) - len(new)
+        end = int(self.ends[before])
+        self.ids, self.ends = _put(self.ids, end, flat), _put(self.ends, before + 1, end + np.cumsum(size))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -167,6 +169,14 @@ class PieceIds:
         return np.split(flat, np.r_[0, last][np.cumsum(count)[:-1]]) if len(texts) else []
 
 
+def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """`more` behind the first n items of held, in a longer array where they find no room: it is copied now and then only."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.empty(n + 2 * len(more), held.dtype)])
+    held[n : n + len(more)] = more
+    return held
+
+
 class _Numbers(dict):
     """Numbers of pieces, in the order in which they were first met."""
 
