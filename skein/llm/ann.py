@@ -35,16 +35,23 @@ class SortedProjections:
 
     def __init__(self, x: np.ndarray, longest: float, m: int = 128, seed: int = 11):
         self.x, self.longest = x, longest
-        full = np.c_[x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))]
+        full = np.c_[x, np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", x, x), 0))]
         self.a = np.random.default_rng(seed).standard_normal((full.shape[1], m))
-        at = (full @ self.a).T
-        order = np.argsort(at, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(at, order, 1)
-        self.rank = np.empty(order.shape, np.uint16)
-        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
+        self.sorted, self.rank, places = np.empty((m, len(x))), np.empty((m, len(x)), np.uint16), np.arange(len(x), dtype=np.uint16)
+        for s, r, a in zip(self.sorted, self.rank, self.a.T):  # one at a time: the arrays that sorting needs are as long as a block
+            at = full @ a
+            order = np.argsort(at, kind="stable")
+            s[:], r[order] = at[order], places
+
+    def nearest(self, queries: np.ndarray, k: int, held: int = 64):
+        """For each query in turn, the places and scores of its best k, ties by place; what is found is held for so many queries only."""
+        for i in range(0, len(queries), held):
+            for found, score in self.search(queries[i : i + held], k):
+                take = np.argsort(-score, kind="stable")[:k]
+                yield found[take], score[take]
 
     def search(self, queries: np.ndarray, k: int, alpha: float = 0.56, share: float = 0.25, least: int = 100, step: float = 1.12):
-        """For each query, the places and scores of the vectors found: at least min(k, all) of them."""
+        """For each query, the places and scores of the vectors found: at least min(k, all) of them, and a share of the block."""
         n, m = len(self.x), len(self.a[0])
         at = (np.c_[queries * (self.longest / np.sqrt((queries * queries).sum(axis=1)))[:, None], np.zeros(len(queries))] @ self.a).T
         want, need = min(n, k + least + int(share * n)), int(np.ceil(alpha * m))
@@ -103,13 +110,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 65_
             order = np.argsort(names)  # places in the order of ids, so that a stable sort breaks ties by id
             names = names[order]
             index = SortedProjections(_matrix(x.column("e"))[order], longest, m)
-            for a, b, (found, score) in zip(y.column("h0").to_pylist(), y.column("h1").to_pylist(), index.search(_matrix(y.column("e")), k + 1)):
-                take = np.argsort(-score, kind="stable")[: k + 1]
-                ids += names[found[take]].tolist()
-                scores += score[take].tolist()
-                h0 += [a] * len(take)
-                h1 += [b] * len(take)
-        return pa.table([pa.array(h0, pa.int64()), pa.array(h1, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["h0", "h1", "rep", "score"])
+            for found, score in index.nearest(_matrix(y.column("e")), k + 1):
+                ids.append(names[found])
+                scores.append(score)
+            sizes = [len(i) for i in ids]
+            h0, h1 = (np.repeat(y.column(c).to_numpy(), sizes) for c in ("h0", "h1"))
+        joined = lambda parts, t: pa.array(np.concatenate(parts) if len(parts) else [], t)
+        return pa.table([pa.array(h0, pa.int64()), pa.array(h1, pa.int64()), joined(ids, pa.int64()), joined(scores, pa.float64())], names=["h0", "h1", "rep", "score"])
 
     near = left.groupBy("dims", "b", "p").cogroup(right.groupBy("dims", "b", "p")).applyInArrow(best, "h0 bigint, h1 bigint, rep bigint, score double")
     first = Window.partitionBy("h0", "h1").orderBy(F.desc("score"), "rep")

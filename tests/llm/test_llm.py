@@ -330,6 +330,21 @@ def test_nearest_recall_and_edges(spark):
         assert ann.search(odd, odd).collect() == []
 
 
+def test_nearest_holds_what_few_queries_found():
+    import tracemalloc
+
+    x = np.random.default_rng(4).standard_normal((4000, 8))
+    index = ann.SortedProjections(x, np.sqrt((x * x).sum(axis=1)).max(), 16)
+    tracemalloc.start()
+    got = list(index.nearest(x[:1000], 21))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # what all queries find takes over 16 MB
+    for (places, scores), (found, score) in zip(got, index.search(x[:1000], 21)):
+        take = np.argsort(-score, kind="stable")[:21]
+        assert places.tolist() == found[take].tolist() and scores.tolist() == score[take].tolist()
+
+
 def plain(words, counts=(), other=0):
     return mlm.Vocabulary(words, mlm.GROUPS, mlm.Spelling(np.zeros(0, np.int64), np.zeros(0)), counts, other)
 
