@@ -1,6 +1,7 @@
 import hashlib
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,35 @@ def test_graph_known_answers(spark):
     assert s[1, 3]["cn"] == 1 and s[1, 3]["jaccard"] == 0.5 and (1, 2) not in s
 
 
+def test_betweenness_by_pairs(spark):
+    """Of all pairs, the share of shortest paths through a node; a dense part, trees, a path and components, however sources are batched."""
+    import itertools
+    import random
+
+    r = random.Random(5)
+    e = {(a, b) for a, b in itertools.combinations(range(14), 2) if r.random() < 0.5} | {(i, i + 1) for i in range(13, 30)} | {(r.randrange(10), i) for i in range(31, 40)} | {(50, 51), (51, 52)}
+    ids = sorted({v for p in e for v in p})
+    near = {v: [a + b - v for a, b in e if v in (a, b)] for v in ids}
+    far, paths = {}, {}
+    for s in ids:
+        far[s, s], paths[s, s], level = 0, 1, [s]
+        while level:
+            new: dict = {}
+            for v, w in ((v, w) for v in level for w in near[v] if (s, w) not in far):
+                new[w] = new.get(w, 0) + paths[s, v]
+            for w, n in new.items():
+                far[s, w], paths[s, w] = far[s, level[0]] + 1, n
+            level = list(new)
+    want = {v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s, t in far if s < t and v not in (s, t) and (s, v) in far and far[s, v] + far[v, t] == far[s, t]) for v in ids}
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(edges(spark, sorted(e))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in ids)
+    at = {v: i for i, v in enumerate(ids)}
+    a, b = (np.array([at[p[i]] for p in sorted(e)]) for i in (0, 1))
+    for states in (1, 3 * len(ids), 10_000):
+        sums = graph.Dependencies(a, b, len(ids), states).sums(np.arange(len(ids)))
+        assert np.allclose(sums / 2, [want[v] for v in ids])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
 def test_merkle_shapes(spark, n):
     leaves = [hashlib.sha256(bytes([i])).hexdigest() for i in range(n)]
