@@ -12,7 +12,7 @@ words is one shingle, one without words none. The `keep` least values are its sk
    similarity; estimates more than six standard deviations too low are dropped, the others are decided on full sets.
 4. The links give components. Within a list, classes that are in different components still have to meet. Their full
    sets are joined exactly by their rarest shingles: only pairs in different components that share one early enough,
-   by its places in both sets, are made and decided. Pairs within a component change nothing, so a large group of
+   by its places in both sets, and whose sets' parities differ in few enough bits, are made and decided. Pairs within a component change nothing, so a large group of
    copies costs its size.
 
 Full sets are made again from the text, for the documents in undecided pairs only.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_saved, saved, slices, spare, table
@@ -105,10 +105,16 @@ def sketches(docs: DataFrame, width: int = 5, keep: int = 64) -> DataFrame:
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     def row(text, words):
-        return (shingle_set(text, width, words).tolist(),)
+        s = shingle_set(text, width, words)
+        return s.tolist(), parities(s)
+
+    row.types = (pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return _per_text(docs, "shingles array<bigint>, parities array<bigint>", row)
+
 
-    row.types = (pa.list_(pa.int64()),)
-    return _per_text(docs, "shingles array<bigint>", row)
+def parities(s: np.ndarray) -> list[int]:
+    """256 bits, each whether an odd number of shingles falls on it: two sets differ in as many shingles as bits, at least."""
+    return np.packbits((np.bincount(s & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
 def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> DataFrame:
@@ -124,7 +130,7 @@ def estimated(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> D
 
 
 def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """doc_id (here the number of a class) and shingles of the classes in ids (doc_id), written to the shared folder."""
+    """doc_id (here the number of a class), shingles and parities of the classes in ids (doc_id), written to the shared folder."""
     wanted = classes.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "rep.*").withColumnsRenamed({"doc_id": "class", "id": "wid", "th": "wth"})
     d = marked(docs).join(wanted.hint("merge"), (F.col("doc_id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select(F.col("class").alias("doc_id"), "th", "text").dropDuplicates(["doc_id"])
     return saved(full_sets(d, width).drop("th"), "sets")
@@ -160,6 +166,27 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return listed.select("f.value", "doc_id", "n", at.alias("at"), (at <= F.col("most")).alias("short"))
 
 
+def crossing(listed: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components (c) that may be similar, from the rows of prefixes() with c and parities.
+
+    The join keeps a pair only if so many shingles can be shared after the places of the one they meet at, and if no
+    more shingles than similar sets may differ in are known by their parities to be in one set only.
+    """
+    x = listed.select("value", "doc_id", "n", "c", "at", "short", *(F.col("parities")[k].alias(f"p{k}") for k in range(4)))
+    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("at").alias("bat"), *(F.col(f"p{k}").alias(f"q{k}") for k in range(4)))
+    both = F.col("n") + F.col("bn")
+    smaller = (F.col("n") < F.col("bn")) | ((F.col("n") == F.col("bn")) & (F.col("doc_id") < F.col("b")))
+    able = (1 + F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat"))) * (100 + percent) >= both * percent
+    odd = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(4)), F.lit(0))
+    able = able & ((both - odd) * (100 + percent) >= 2 * percent * both)
+    return x.where("short").join(y, (F.col("value") == F.col("v2")) & smaller & (F.col("c") != F.col("bc")) & _near("n", "bn", percent) & able).select(F.col("doc_id").alias("a"), "b")
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether sets of x and y shingles can be similar."""
+    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: int = 64, post: int = 32, share: float = 0.44) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = saved(sketches(docs, width, keep), "sketches")
@@ -168,9 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     rep = F.min(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("n_shingles").alias("n_shingles"), F.col("sketch").alias("sketch"))).alias("rep")
     classes = saved(named.groupBy("digest").agg(rep).select(F.monotonically_increasing_id().alias("doc_id"), "digest", F.struct("rep.id", "rep.th").alias("rep"), "rep.n_shingles", "rep.sketch"), "classes")
     posted = saved(_posted(classes, post, share), "posted")
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     middle = posted.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n")).alias("p")).select(F.col("value").alias("pv"), (-F.col("p.id")).alias("a"), F.col("p.n").alias("an"))
-    first = posted.join(middle, (F.col("value") == F.col("pv")) & (F.col("doc_id") != F.col("a")) & near("n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
+    first = posted.join(middle, (F.col("value") == F.col("pv")) & (F.col("doc_id") != F.col("a")) & _near("n", "an", percent)).select("a", F.col("doc_id").alias("b")).distinct()
     likely = saved(estimated(first, classes, percent, keep), "likely")
     sets = sets_of(ends(likely), classes, docs, width)
     links = saved(decide(likely, sets, percent).unionByName(same_document(named, classes)), "links")
@@ -181,13 +207,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, keep: in
     apart = x.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(F.col("value").alias("mv"))
     x = saved(x.join(apart, F.col("value") == F.col("mv"), "left_semi").select("doc_id", "c").distinct(), "apart")
     sets = sets_of(x.select("doc_id"), classes, docs, width)
-    x = saved(prefixes(sets, percent).join(x.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).drop("id"), "prefixes")
-    y = x.select(F.col("value").alias("v2"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("at").alias("bat"))
-    smaller = (F.col("n") < F.col("bn")) | ((F.col("n") == F.col("bn")) & (F.col("doc_id") < F.col("b")))
-    able = (1 + F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat"))) * (100 + percent) >= (F.col("n") + F.col("bn")) * percent
-    rest = x.where("short").join(y, (F.col("value") == F.col("v2")) & smaller & (F.col("c") != F.col("bc")) & near("n", "bn") & able).select(F.col("doc_id").alias("a"), "b").distinct()
+    x = x.select(F.col("doc_id").alias("id"), "c").join(sets.select("doc_id", "parities"), F.col("id") == F.col("doc_id")).select("id", "c", "parities")
+    x = saved(prefixes(sets, percent).join(x, F.col("doc_id") == F.col("id")).drop("id"), "prefixes")
+    rest = saved(crossing(x, percent).distinct(), "crossing")
     more = saved(decide(rest, sets, percent), "links")
-    drop_saved(sets, x, posted)
+    drop_saved(sets, x, posted, rest)
     if not more.isEmpty():
         group = components(links.unionByName(more))
     grouped = classes.select("doc_id", "digest", "rep.id").join(group, F.col("doc_id") == F.col("node"), "left").select("digest", "id", F.coalesce("component", "doc_id").alias("c"))

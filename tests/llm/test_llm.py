@@ -289,6 +289,19 @@ def test_minhash_links_all_texts_of_an_id(spark):
     assert got == sorted(map(repr, want))
 
 
+def test_minhash_makes_few_pairs_of_unlike_variants(spark):
+    """Variants of one text that are too far from each other don't meet in pairs, and no similar pair is lost."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 62), 1 << 62, 100)
+    sets = [np.unique(np.r_[base[rng.permutation(100)[: 100 - k]], rng.integers(-(1 << 62), 1 << 62, k)]) for k in [15] * 120 + [4] * 20]
+    rows = [(i, s.tolist(), minhash.parities(s), i) for i, s in enumerate(sets)]
+    d = spark.createDataFrame(rows, "doc_id long, shingles array<long>, parities array<long>, c long")
+    listed = minhash.prefixes(d, 85).join(d.select("doc_id", "parities", "c"), "doc_id")
+    made = [tuple(sorted(r)) for r in minhash.crossing(listed, 85).collect()]
+    alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * (n := len(np.intersect1d(x, y))) >= 85 * (len(x) + len(y) - n)}
+    assert alike and {(j, i) for i, j in alike} <= set(made) and len(set(made)) < 500 + 2 * len(alike)  # of 9,730
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 91), (90, 90)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(e).collect()}
