@@ -13,7 +13,11 @@ place in the text) of the first line of the same form. The operator and the pipe
    own segments are joined with each other and with those of the substrings at all other places.
 3. An edit changes the counts of nine letters by two at most in sum; the join keeps only pairs that agree so far. The
    letters' counts are in one long, compared within the join's own code.
-4. What is left is verified on the lines themselves by a banded bit-parallel edit distance: after the common ends are
+4. A segment that more than CROWD forms have of their own would pair them all. Its forms are only noted, and then met by
+   all that `edits` edits leave of a line: of 2 * edits even segments all but some `edits` are the same, and one hash
+   holds them all. They must nearly agree in their pairs of neighbouring characters too, of which an edit changes four
+   at most; 128 bits tell which of them stand in a line an odd number of times.
+5. What is left is verified on the lines themselves by a banded bit-parallel edit distance: after the common ends are
    cut, a word holds the 2 * edits + 1 diagonals of the band as bits, and a step for each character updates them all.
 
 Edge cases: null or empty texts have no lines; null doc_ids come first, and are told apart by their texts, as rows that
@@ -24,13 +28,16 @@ n_near of the input give way to the operator's in dedup().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_saved, release, saved, table
 
 LETTERS = "eanirstol"  # common ones, so that another word changes some
 FEW = 1 << 20  # hashes of lines that are broadcast at most
+CROWD = 16  # forms that have a segment of their own in common and are still paired by it
 
 
 def segments(edits: int) -> dict[str, Column]:
@@ -78,6 +85,23 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
+def neighbours(line: Column) -> Column:
+    """A struct of two longs: of 128 bits, dealt to pairs of neighbouring characters by hash, those of which an odd number stands in the line."""
+    bit = lambda h, k: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("w0"), F.lit(0).cast("bigint").alias("w1"))
+
+    def step(s, x):
+        h = F.xxhash64(s["last"], x)
+        return F.struct(x.alias("last"), s["w0"].bitwiseXOR(bit(h, 0)).alias("w0"), s["w1"].bitwiseXOR(bit(h, 1)).alias("w1"))
+
+    return F.aggregate(F.split(line, ""), start, step, lambda s: F.struct(s["w0"].alias("w0"), s["w1"].alias("w1")))
+
+
+def neighbours_apart(a: Column, b: Column) -> Column:
+    """At most four times the edits: a substitution takes two pairs and adds two, any other edit changes three."""
+    return F.bit_count(a["w0"].bitwiseXOR(b["w0"])) + F.bit_count(a["w1"].bitwiseXOR(b["w1"]))
+
+
 def same_start(a: Column, b: Column) -> Column:
     """Characters that both begin with."""
     most = F.least(F.char_length(a), F.char_length(b))
@@ -166,34 +190,95 @@ def forms_of(lines: DataFrame, edits: int) -> DataFrame:
     return made.groupBy("h0", "h1").agg(F.first("c").alias("c"), F.first("keys").alias("keys"))
 
 
+def able(edits: int) -> Column:
+    """Of a form (h0, c) and one that is as long or longer (g0, c2): they nearly agree in their letters, and meet in one order only."""
+    longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)
+    return (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("h0") < F.col("g0")))
+
+
+def meet(one: DataFrame, other: DataFrame, on: Column) -> DataFrame:
+    """a, b: h0 of one and g0 of other where they share a key and `on` holds."""
+    return one.join(other.hint("merge"), (F.col("key") == F.col("key2")) & on).select(F.col("h0").alias("a"), F.col("g0").alias("b"))
+
+
 def candidates(forms: DataFrame, edits: int) -> DataFrame:
-    """a, b: hashes h0 of forms that share a key and nearly agree in their letters, each pair once; written to the shared folder."""
+    """a, b: hashes h0 of forms that share a key and nearly agree in their letters, each pair once; written to the shared folder.
+
+    For a key that more than CROWD forms have of their own, each form that has it at all stands there once, with a null.
+    """
     one = forms.select("h0", "c", F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
     same = one.select(F.col("h0").alias("g0"), F.col("c").alias("c2"), F.col("key").alias("key2"))
     more = forms.select(F.col("h0").alias("g0"), F.col("c").alias("c2"), F.explode(F.slice("keys", edits + 2, 1 << 20)).alias("key2"))
-    longer = F.shiftrightunsigned("c", 56) != F.shiftrightunsigned("c2", 56)  # the probing side is longer or as long
-    able = (counts_apart(F.col("c"), F.col("c2")) <= 2 * edits) & (longer | (F.col("h0") < F.col("g0")))
-    meet = lambda x, y: x.join(y.hint("merge"), (F.col("key") == F.col("key2")) & able).select(F.col("h0").alias("a"), F.col("g0").alias("b"))
-    pairs = saved(meet(one, same).unionByName(meet(one, more)).distinct(), "line-pairs")
-    del forms, one, same, more
+    group = Window.partitionBy("key")
+    sized = one.withColumn("n", F.count("*").over(group)).withColumn("least", F.min("h0").over(group))
+    few = sized.where((F.col("n") <= CROWD) | (F.col("h0") == F.col("least"))).select(F.when(F.col("n") <= CROWD, F.col("h0")).alias("h0"), "c", "key")
+    on = F.col("h0").isNull() | able(edits)
+    pairs = saved(meet(few, same, on).unionByName(meet(few, more, on)).distinct(), "line-pairs")
+    del forms, one, same, more, sized, few
     release(pairs.sparkSession)
     return pairs
 
 
+def places(edits: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """What may differ: `less`, a number, and for each of `edits` of 2 * edits segments which it is and how much longer the other line's is.
+
+    First for a line itself and then for those that are as long or up to `edits` longer.
+    """
+    sets = [*enumerate(itertools.combinations(range(2 * edits), edits))]
+    grown = [g for g in itertools.product(range(-edits, edits + 1), repeat=edits) if sum(map(abs, g)) <= edits and sum(g) >= 0]
+    all_ = [(sum(g), k, *itertools.chain(*zip(s, g))) for k, s in sets for g in grown]
+    own = [x for x in all_ if not any(x[3::2])]
+    return own, [x for x in all_ if any(x[3::2])]
+
+
+def rest_keys(lines: DataFrame, edits: int, at: list[tuple[int, ...]]) -> DataFrame:
+    """h0, c, w, key: for each of `at` a hash of what stands outside of these segments of a line of h0, line, l, c, w."""
+    names = ["less", "k", *itertools.chain(*((f"s{i}", f"g{i}") for i in range(edits)))]
+    each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, x))) for x in at)))
+    x = lines.select("h0", "line", "l", "c", "w", each.alias("t")).select("h0", "line", "c", "w", "t", (F.col("l") - F.col("t.less")).alias("own"))
+    edge = lambda i: F.floor(F.col("own") * i / (2 * edits)).cast("int")
+    parts, start, moved = [], F.lit(0), F.lit(0)
+    for i in range(edits):
+        parts.append(F.substring("line", start + 1, F.greatest(edge(F.col(f"t.s{i}")) + moved - start, F.lit(0))))
+        moved = moved + F.col(f"t.g{i}")
+        start = edge(F.col(f"t.s{i}") + 1) + moved
+    return x.select("h0", "c", "w", F.xxhash64("own", "t.k", *parts, F.substring("line", start + 1, F.lit(1 << 30))).alias("key"))
+
+
+def crowded(lines: DataFrame, edits: int) -> DataFrame:
+    """a, b as of candidates(), of the distinct ones of these lines, that agree outside of `edits` of 2 * edits segments."""
+    forms = lines.select("h0", "line").distinct().withColumn("l", F.char_length("line"))
+    forms = saved(forms.select("*", letter_counts(F.col("line"), F.col("l")).alias("c"), neighbours(F.col("line")).alias("w")), "line-crowds")
+    own, others = places(edits)
+    one, more = rest_keys(forms, edits, own), rest_keys(forms, edits, others)
+    to = lambda x: x.select(F.col("h0").alias("g0"), F.col("c").alias("c2"), F.col("w").alias("w2"), F.col("key").alias("key2"))
+    on = able(edits) & (neighbours_apart(F.col("w"), F.col("w2")) <= 4 * edits)
+    pairs = saved(meet(one, to(one), on).unionByName(meet(one, to(more), on)).distinct(), "line-pairs")
+    drop_saved(forms)
+    return pairs
+
+
+def of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines whose h0 is one of the saved ids."""
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+    return lines.join(ids, F.col("h0") == F.col("id"), "left_semi")
+
+
 def edit_join(lines: DataFrame, edits: int) -> DataFrame:
     """The distinct lines (of lines_of()) that are within `edits` edits of each other, each pair once: a and b, each a
     struct of h0, h1, place and line. Written to the shared folder.
     """
-    pairs = candidates(forms_of(lines, edits), edits)  # by now all keys are spent
+    found = candidates(forms_of(lines, edits), edits)  # by now all keys are spent
+    pairs, crowds = found.where("a is not null"), found.where("a is null").select(F.col("b").alias("id"))
+    if not crowds.isEmpty():
+        pairs = pairs.unionByName(crowded(of_ids(lines, crowds), edits)).distinct()
     ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
-    ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
-    met = lines.join(ids, F.col("h0") == F.col("id"), "left_semi")
-    texts = saved(met.groupBy("h0", "h1", "line").agg(F.min(F.struct("doc_id", "th", "at")).alias("place")), "line-texts")
+    texts = saved(of_ids(lines, ids).groupBy("h0", "h1", "line").agg(F.min(F.struct("doc_id", "th", "at")).alias("place")), "line-texts")
     of = lambda x: texts.select(F.col("h0").alias(f"{x}0"), F.struct("h0", "h1", "place", "line").alias(f"{x}_form"))
     full = pairs.join(of("a"), F.col("a") == F.col("a0")).join(of("b"), F.col("b") == F.col("b0"))
     full = full.select(F.col("a_form").alias("a"), F.col("b_form").alias("b"), F.col("a_form.line").alias("x"), F.col("b_form.line").alias("y"))
     links = saved(within(full.where("x <> y"), "x", "y", edits).select("a", "b"), "line-links")
-    drop_saved(pairs, texts)
+    drop_saved(found, pairs, texts)
     return links
 
 

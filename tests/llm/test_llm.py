@@ -129,6 +129,46 @@ def test_edit_join_by_brute_force(spark):
         lines.dedup(d, least=4)
 
 
+def test_edit_join_of_lines_with_common_parts(spark, monkeypatch):
+    """Crowds of lines that share a third of them: all links, and few others reach the verification."""
+    rng, seen, verify = random.Random(21), [], lines.within
+    monkeypatch.setattr(lines, "within", lambda pairs, *a: seen.append(pairs.count()) or verify(pairs, *a))
+
+    def changed(s, k):
+        s = list(s)
+        for _ in range(k):
+            i = rng.randrange(len(s) + 1)
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "é", "x"])
+        return "".join(s)
+
+    def joined(pool):
+        d = lines.lines_of(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string"), 20)
+        return sorted(tuple(sorted((r["a"]["line"], r["b"]["line"]))) for r in lines.edit_join(d, 2).collect())
+
+    text = "the same words stand in 日本 all of these"
+    pool = sorted({changed(text, rng.choice([1, 1, 2, 2, 3, 4])) for _ in range(110)} | {text + x for x in ("", "y", "zz", "äöü")})
+    want = [(a, b) for a, b in itertools.combinations(pool, 2) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    assert joined(pool) == want and len(want) > 200
+    ends = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(120)]
+    pool = sorted([*("here a common start, " + x for x in ends), "here a common start, " + ends[0][:-2] + "é"])
+    assert joined(pool) == [tuple(sorted(("here a common start, " + ends[0], "here a common start, " + ends[0][:-2] + "é")))]
+    assert seen[-1] <= 240  # of 7,140 pairs with the same letters and a segment in common
+
+
+def test_neighbours_of_lines_within_two_edits(spark):
+    rng, letters = random.Random(8), "abcde é日"
+    pairs = []
+    for _ in range(400):
+        y = list(x := "".join(rng.choices(letters, k=rng.randint(1, 50))))
+        for _ in range(2):
+            i = rng.randrange(len(y) + 1)
+            y[i : i + rng.randint(0, 1)] = rng.choice(["", *letters])
+        pairs.append((x, "".join(y)))
+    d = spark.createDataFrame(pairs, "x string, y string")
+    apart = lines.neighbours_apart(lines.neighbours(F.col("x")), lines.neighbours(F.col("y")))
+    assert d.select(F.max(apart)).first()[0] <= 8
+
+
 def test_line_dedup_query_by_brute_force(spark, tmp_path):
     """Repeated and null doc_ids, rows equal in all, hot lines, ties, long lines, lines of other scripts."""
     rng = random.Random(12)
