@@ -155,6 +155,17 @@ def test_edit_join_of_lines_with_common_parts(spark, monkeypatch):
     assert seen[-1] <= 240  # of 7,140 pairs with the same letters and a segment in common
 
 
+def test_pipeline_line_dedup_does_not_pair_a_crowd(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng, seen, verify = random.Random(5), [], lines.within
+    monkeypatch.setattr(lines, "within", lambda pairs, *a: seen.append(pairs.count()) or verify(pairs, *a))
+    texts = ["here a common start, " + "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0] + "!"])], DOCS)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, d, None).collect()} == dict(enumerate(texts))
+    assert seen[0] <= 120  # of 1,770 pairs with the same letters and a segment in common
+
+
 def test_neighbours_of_lines_within_two_edits(spark):
     rng, letters = random.Random(8), "abcde é日"
     pairs = []
