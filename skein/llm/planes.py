@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, splitter, table
+from .common import scratch, slices, spare, splitter, table
 
 HEADER = struct.Struct("<4sHHIQ")
 FRAME = np.dtype([("offset", "<u8"), ("length", "<u4")])
@@ -80,14 +80,48 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: The split patterns of SAME for the standard library's re, which is faster but has no classes L, N and S of Unicode.
+QUICK = {
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+",
+}
+
+
+class Split:
+    """The pieces of a text by a split pattern. Texts without characters from U+10000 on are split by re, where it can."""
+
+    def __init__(self, pattern: str):
+        import re
+
+        self.any = self.low = splitter(pattern)
+        if pattern in QUICK:
+            self.low = re.compile(QUICK[pattern].format(L=self.ranges(r"\p{L}"), N=self.ranges(r"\p{N}"), S=self.ranges(r"\s")))
+
+    @staticmethod
+    def ranges(kind: str) -> str:
+        """All characters of a kind below U+10000, as it stands in a class of re."""
+        import regex
+
+        out: list[list[int]] = []
+        for c in map(ord, regex.findall(kind, "".join(map(chr, range(0x10000))))):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+    def __call__(self, text: str) -> list[str]:
+        low = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return (self.low if low else self.any).findall(text)
+
+
 class PieceIds:
     """Ids of texts by the tokenizers library, asked once for each distinct piece that a worker remembers.
 
     The library's byte-level models split a text by the pattern before any merge, so a piece has the same ids alone
-    as in its text; many pieces are asked at once, a line each, of a model that splits at line ends only. Models with a
-    normalizer, or a split other than the pattern, are refused. As the library does by default, texts are first cut at
-    the model's added tokens, which have their own ids. A piece has a number, by which its ids are found in one array;
-    all are forgotten when there are more than `held`.
+    as in its text; many pieces are asked at once, a line each, of a model that splits at line ends only, and drops them:
+    the bytes that tokens stand for tell where a piece ends. Models with a normalizer, or a split other than the pattern,
+    are refused. As the library does by default, texts are first cut at the model's added tokens, which have their own
+    ids. A piece has a number, by which its ids are found in one array; all are forgotten when there are more than `held`.
     """
 
     def __init__(self, data: bytes, pattern: str, held: int = 600_000):
@@ -107,21 +141,21 @@ class PieceIds:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.model = Tokenizer.from_str(data.decode())
         self.model.encode_special_tokens = True  # added tokens have been cut out before
-        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), whole])
+        self.whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.in_lines = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), self.whole])
         self.model.model._resize_cache(0)  # every piece is asked once
-        (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
-        self.alone = Tokenizer.from_str(data.decode())
-        self.alone.encode_special_tokens, self.alone.pre_tokenizer = True, whole
-        self.pattern, self.held = splitter(pattern), held
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # a character of a token stands for a byte
+        self.size[list(vocab.values())] = [len(t) for t in vocab]
+        self.split, self.held = Split(pattern), held
         self.forget()
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text, added tokens among them."""
         if not any(t in text for t in self.added):
-            return self.pattern.findall(text)
+            return self.split(text)
         parts = self.cut.split(text)
-        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pattern.findall(part))]
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.split(part))]
 
     def forget(self) -> None:
         self.seen = _Numbers((t, k) for k, t in enumerate(self.added))
@@ -131,17 +165,20 @@ class PieceIds:
         """Append the ids of new pieces, in the order of their numbers."""
         got: list = [None] * len(new)
         lone = [k for k, p in enumerate(new) if "\n" in p]
-        for k, x in zip(lone, self.alone.encode_batch_fast([new[k] for k in lone], add_special_tokens=False)):
+        self.model.pre_tokenizer = self.whole
+        for k, x in zip(lone, self.model.encode_batch_fast([new[k] for k in lone], add_special_tokens=False)):
             got[k] = np.array(x.ids, "<u4")
+        self.model.pre_tokenizer = self.in_lines
         rest, parts, sizes = [p for p in new if "\n" not in p], [], []
         for a in range(0, len(rest), 500):
             part = rest[a : a + 500]
-            ids = np.array(self.model.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(part):
-                raise ValueError("the model does not split at line ends")
-            parts.append(ids[ids != self.line])
-            sizes.append(np.diff(ends, prepend=-1) - 1)
+            ids = np.array(self.model.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at, end = np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+            last = np.searchsorted(at, end)
+            if len(ids) != last[-1] + 1 or (at[last] != end).any():
+                raise ValueError("the model's tokens are not the bytes of the pieces")
+            parts.append(ids)
+            sizes.append(np.diff(last, prepend=-1))
         size = np.zeros(len(new), np.int64)
         size[lone] = [len(got[k]) for k in lone]
         in_line = np.ones(len(new), bool)
@@ -161,7 +198,7 @@ class PieceIds:
         split = [self.pieces(t) for t in texts]
         count, before, of = np.array([len(p) for p in split], np.int64), len(self.seen), self.seen.__getitem__
         number = np.fromiter(map(of, chain.from_iterable(split)), np.int64, int(count.sum()))
-        self.ask(list(islice(self.seen, before, None)))
+        self.ask(list(islice(reversed(self.seen), len(self.seen) - before))[::-1])
         first = self.ends[number]
         size = self.ends[number + 1] - first
         last = np.cumsum(size)
@@ -232,6 +269,7 @@ def write(docs: DataFrame, out: str, model: str, pattern: str, end_id: int, segm
                         names=["shard", "seg", "first", "n_ids", "doc_ids", "n_tokens", "payload"],
                     )
                     seg, first = seg + 1, first + len(ids)
+        spare()
 
     ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").mapInArrow(run, SHARDS).write.option("compression", "none").parquet(out)

@@ -81,6 +81,34 @@ def test_planes_take_added_tokens_as_the_library_does(spark, tmp_path):
         start += len(ids)
 
 
+def test_planes_split_as_the_pattern_does():
+    """By re, but for characters that it has no classes for; the library gives no ids but those of new pieces, once."""
+    import regex
+
+    split, plain = planes.Split(P.PATTERN), regex.compile(P.PATTERN)
+    texts = [f"a{c}1{c}#{c} {c}{c}'s" for c in map(chr, range(0x20000)) if not "\ud800" <= c <= "\udfff"]
+    texts += ["".join(R.choice("aé ß\n\t\r\x1c\x85\u2028\xa0\u30001²٣'sld#中𝔸👍") for _ in range(R.randint(0, 30))) for _ in range(4000)]
+    assert all(split(x) == plain.findall(x) for x in texts)
+    assert split.low is not split.any and split.low.findall("l'été 12") == plain.findall("l'été 12")
+
+    m, given = planes.PieceIds(open(P.path("byte_bpe_50k.json"), "rb").read(), P.PATTERN), []
+
+    class Watched:
+        model = m.model
+
+        def encode_batch_fast(self, texts, **more):
+            self.model.pre_tokenizer = self.pre_tokenizer
+            given.extend(got := self.model.encode_batch_fast(texts, **more))
+            return got
+
+    m.model = Watched()
+    texts = [*ODD, *ODD[::-1], say(500)]
+    got = m.encode_batch(texts)
+    want = Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in got] == [x.ids for x in want]
+    assert sum(len(x.ids) for x in given) == sum(len(m.encode_batch([p])[0]) for p in m.seen if p not in m.added)
+
+
 def test_repetition_by_brute_force(docs, none):
     for _ in range(40):
         parts = [[R.randint(0, R.choice([1, 3, 9])) for _ in range(R.randint(0, 30))] for _ in range(4)]
