@@ -37,7 +37,7 @@ from .common import drop_saved, saved, slices, table
 GROUPS, IN_GROUP, SIDE, DIM, HIDDEN = 64, 64, 2, 8, 16
 SIZE, PAD = GROUPS * IN_GROUP, -1  # the last row of e
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CHUNK = 4096
+CHUNK, BLOCK = 4096, 2048  # BLOCK: rows whose softmax stays in a core's cache
 BYTES, BEFORE, HELD = 257, 2, 600_000  # 256 stands before a word and at its end
 ROUNDS = (0, 1, 4, 16)  # sixteenths of the documents that each round ends at
 
@@ -79,17 +79,32 @@ def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+def with_bias(net: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both levels with the biases as their last row, for hidden()'s column of ones."""
+    return np.concatenate([net["gw"], net["gb"][None]]), np.concatenate([net["iw"], net["ib"][:, None]], axis=1)
+
+
+def is_steep(w: np.ndarray) -> bool:
+    """Whether the exponentials of h @ w could leave single precision; no value of h is beyond 1."""
+    return not np.abs(w).sum(axis=-2).max() < 60
+
+
+def exps(h: np.ndarray, w: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials that a softmax divides by their sums, and these."""
+    x = h @ w
+    if steep:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], np.float32)
 
 
 def hidden(net: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["e"].take(ctx, axis=0, mode="wrap").reshape(len(ctx), -1)
-    return x, np.tanh(x @ net["w"] + net["b"])
+    """What the tanh layer reads, and what it gives, with a last column of ones."""
+    x, h = net["e"].take(ctx, axis=0, mode="wrap").reshape(len(ctx), -1), np.ones((len(ctx), HIDDEN + 1), np.float32)
+    y = x @ net["w"]
+    y += net["b"]
+    np.tanh(y, out=h[:, :HIDDEN])
+    return x, h
 
 
 def by_group(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,13 +116,17 @@ def by_group(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.n
 def log_probs(net: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each id from its context."""
     _, h = hidden(net, ctx)
-    groups = len(net["ib"])
-    group, order, end = by_group(ids, groups)
-    out = _softmax(h @ net["gw"] + net["gb"])[np.arange(len(ids)), group]
+    (gw, iw), out = with_bias(net), np.empty(len(ids), np.float32)
+    group, order, end = by_group(ids, len(iw))
+    steep, inner_steep = is_steep(gw), is_steep(iw)
+    for a in range(0, len(ids), BLOCK):
+        p, total = exps(h[a : a + BLOCK], gw, steep)
+        out[a : a + BLOCK] = p[np.arange(len(p)), group[a : a + BLOCK]] / total
     hs, inner, near = h[order], (ids[order] - 1) % IN_GROUP, np.ones(len(ids), np.float32)
     for g in np.flatnonzero(np.diff(end)).tolist():
         a, b = end[g], end[g + 1]
-        near[a:b] = _softmax(hs[a:b] @ net["iw"][g] + net["ib"][g])[np.arange(b - a), inner[a:b]]
+        p, total = exps(hs[a:b], iw[g], inner_steep)
+        near[a:b] = p[np.arange(b - a), inner[a:b]] / total
     out[order] *= near
     return np.log(np.maximum(out, 1e-37))
 
@@ -131,27 +150,31 @@ def train(net: dict, ctx: np.ndarray, ids: np.ndarray, rate: float = 0.2, seen:
         at = mixed[a : a + batch]
         c, y, n = ctx[at], ids[at], np.float32(len(at))
         x, h = hidden(net, c)
+        (gw, iw), back, one = with_bias(net), np.empty((len(at), HIDDEN), np.float32), 1 / n
         group, order, end = by_group(y, groups)
-        d = _softmax(h @ net["gw"] + net["gb"])
-        d[np.arange(len(at)), group] -= 1
-        d /= n
-        back = d @ net["gw"].T
-        iw, ib = np.zeros_like(net["iw"]), np.zeros_like(net["ib"])
-        hs, inner, deep = h[order], (y[order] - 1) % IN_GROUP, np.zeros_like(h)
+        steep, inner_steep, of_gw, of_iw = is_steep(gw), is_steep(iw), np.zeros_like(gw), np.zeros_like(iw)
+        for i in range(0, len(at), BLOCK):
+            hb = h[i : i + BLOCK]
+            p, total = exps(hb, gw, steep)
+            p *= (one / total)[:, None]
+            p[np.arange(len(hb)), group[i : i + BLOCK]] -= one
+            np.matmul(p, net["gw"].T, out=back[i : i + BLOCK])
+            of_gw += hb.T @ p
+        hs, inner, deep = h[order], (y[order] - 1) % IN_GROUP, np.zeros_like(back)
         for g in np.flatnonzero(np.diff(end)).tolist():
             i, j = end[g], end[g + 1]
-            p = _softmax(hs[i:j] @ net["iw"][g] + net["ib"][g])
-            p[np.arange(j - i), inner[i:j]] -= 1
-            p /= n
+            p, total = exps(hs[i:j], iw[g], inner_steep)
+            p *= (one / total)[:, None]
+            p[np.arange(j - i), inner[i:j]] -= one
             np.matmul(p, net["iw"][g].T, out=deep[i:j])
-            np.matmul(hs[i:j].T, p, out=iw[g])
-            p.sum(axis=0, out=ib[g])
+            np.matmul(hs[i:j].T, p, out=of_iw[g])
         back[order] += deep
+        h = h[:, :HIDDEN]
         z = back * (1 - h * h)
         into, size = z @ net["w"].T, len(net["e"])
         flat = np.where(c < 0, size - 1, c).ravel()
         e = np.stack([np.bincount(flat, into[:, k::DIM].ravel(), size) for k in range(DIM)], axis=1).astype(np.float32)
-        for k, grad in (("iw", iw), ("ib", ib), ("gw", h.T @ d), ("gb", d.sum(axis=0)), ("w", x.T @ z), ("b", z.sum(axis=0)), ("e", e)):
+        for k, grad in (("iw", of_iw[:, :-1]), ("ib", of_iw[:, -1]), ("gw", of_gw[:-1]), ("gb", of_gw[-1]), ("w", x.T @ z), ("b", z.sum(axis=0)), ("e", e)):
             move(k, grad)
 
 

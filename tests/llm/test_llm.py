@@ -461,6 +461,44 @@ def test_masked_lm(docs, none):
     assert mlm.score(none, *(lambda v: (v, mlm.fit(none, v)))(mlm.vocabulary(none))).count() == 0
 
 
+def test_masked_lm_in_double_precision():
+    """Probabilities and a step of training by the plain formulas, of flat and of steep networks, in little room."""
+    import tracemalloc
+
+    rng, v = np.random.default_rng(7), plain([b"%d" % i for i in range(mlm.SIZE)], range(mlm.SIZE, 0, -1), 500)
+    ids, ctx = rng.integers(0, mlm.SIZE + 1, 5000).astype(np.int32), rng.integers(-1, mlm.SIZE + 1, (5000, 4)).astype(np.int32)
+    ids[:40] = 0
+    for wide in (0.3, 30):
+        net = {k: (x + rng.normal(0, wide if k in ("gw", "iw") else 0.1, x.shape)).astype(np.float32) for k, x in mlm.fresh(v).items()}
+        n = {k: x.astype(float) for k, x in net.items()}
+        x = n["e"][ctx].reshape(5000, -1)
+        h = np.tanh(x @ n["w"] + n["b"])
+        group, inner, row = (ids + 63) // 64, (ids - 1) % 64, np.arange(5000)
+        norm = lambda y: np.exp(y - y.max(1, keepdims=True)) / np.exp(y - y.max(1, keepdims=True)).sum(1, keepdims=True)
+        outer, near = norm(h @ n["gw"] + n["gb"]), norm(np.einsum("nh,nhk->nk", h, n["iw"][group - 1]) + n["ib"][group - 1])
+        want = np.log(np.maximum(outer[row, group] * np.where(ids > 0, near[row, inner], 1), 1e-37))
+        assert mlm.is_steep(mlm.with_bias(net)[1]) == (wide > 1) and np.allclose(mlm.log_probs(net, ctx, ids), want, atol=1e-4, rtol=1e-4)
+        d, some = outer / 5000, near / 5000 * (ids > 0)[:, None]
+        d[row, group] -= 1 / 5000
+        some[row, inner] -= (ids > 0) / 5000
+        gi, bi = np.zeros_like(n["iw"]), np.zeros_like(n["ib"])
+        np.add.at(gi, group[ids > 0] - 1, (h[:, :, None] * some[:, None])[ids > 0])
+        np.add.at(bi, group[ids > 0] - 1, some[ids > 0])
+        z = (d @ n["gw"].T + np.einsum("nk,nhk->nh", some, n["iw"][group - 1])) * (1 - h * h)
+        e = np.zeros_like(n["e"])
+        np.add.at(e, ctx.ravel() % len(e), (z @ n["w"].T).reshape(-1, mlm.DIM))
+        seen = {k: np.ones(x.shape, np.float32) for k, x in net.items()}
+        mlm.train(net, ctx, ids, seen=seen)
+        for k, grad in (("gw", h.T @ d), ("gb", d.sum(0)), ("iw", gi), ("ib", bi), ("w", x.T @ z), ("b", z.sum(0)), ("e", e)):
+            assert np.allclose((n[k] - net[k]) / 0.2, grad / np.sqrt(1 + grad**2), atol=4e-6 if wide < 1 else 4e-5, rtol=1e-3), (wide, k)
+    ctx, ids = np.tile(ctx, (4, 1))[:16_384], np.tile(ids, 4)[:16_384]
+    tracemalloc.start()
+    mlm.log_probs(net, ctx, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9e6, peak  # the logits of all rows at once are 4.3 MB, and were there twice
+
+
 def test_masked_lm_beats_counts_whatever_the_partitions(spark):
     """On documents held out, by words of the vocabulary; the network is the same from 1 and from 32 partitions."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
